@@ -9,14 +9,14 @@ counted AS (SELECT l_linestatus AS series, CAST(l_shipdate AS DATE) AS day, coun
 demand AS (SELECT series, day, CAST(date_diff('day', first_day, day) AS INTEGER) AS day_idx, value
   FROM (SELECT * FROM counted UNION ALL SELECT 'TOTAL', day, CAST(sum(value) AS BIGINT) FROM counted GROUP BY day), bounds)"""
 
-OBS_SQL = DEMAND_SQL + """, trailing AS (
+OBS_SQL = DEMAND_SQL + """, panel_rows AS (
   SELECT *, avg(value) OVER (PARTITION BY series ORDER BY day_idx ROWS 6 PRECEDING) AS mean7,
     avg(value) OVER (PARTITION BY series ORDER BY day_idx ROWS 27 PRECEDING) AS mean28 FROM demand),
 obs AS (
   SELECT o.series, o.day_idx, o.day, CAST(h.horizon AS INTEGER) AS horizon, o.day + CAST(h.horizon AS INTEGER) AS target, o.mean7, o.mean28,
     CAST(a.value AS DOUBLE) AS lag1, CAST(b.value AS DOUBLE) AS lag2, CAST(c.value AS DOUBLE) AS lag3, CAST(d.value AS DOUBLE) AS lag4,
     f.value AS actual
-  FROM trailing o CROSS JOIN (SELECT unnest(range(1, 15)) AS horizon) h
+  FROM panel_rows o CROSS JOIN (SELECT unnest(range(1, 15)) AS horizon) h
   JOIN demand a ON a.series = o.series AND a.day_idx = o.day_idx + h.horizon - 7 * ceil(h.horizon / 7.0)
   JOIN demand b ON b.series = a.series AND b.day_idx = a.day_idx - 7
   JOIN demand c ON c.series = a.series AND c.day_idx = a.day_idx - 14
