@@ -50,6 +50,13 @@ def _tagged(history, incoming):
     return history.withColumn("is_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
 
 
+def affected(history, incoming):
+    """History of the events an increment touches; the rest of the history takes no part in the merge."""
+    if history is None:
+        return None
+    return history.join(incoming.select("event_id").distinct(), "event_id", "left_semi")
+
+
 def classify(history, incoming, previous_as_of=None, block=BLOCK):
     """One row per version with ``outcome`` (``kept`` for old ones, else inserted/corrected/stale) and ``late_arrival``.
 
@@ -79,16 +86,29 @@ def classify(history, incoming, previous_as_of=None, block=BLOCK):
             .drop("block", "inner_peak", "earlier_peak", "is_new", "deliveries"))
 
 
+def new_versions(versions):
+    return versions.filter(F.col("outcome") != "kept").drop("outcome", "duplicates")
+
+
 def merge_deliveries(history, incoming, previous_as_of=None, received_at=None, block=BLOCK):
-    """History plus this run's versions, the current version of every event, and the outcome counts."""
+    """Versions of the touched events, the grown (append-only) history, current events and outcome counts."""
     stamped = incoming.withColumn("received_at", F.lit(received_at).cast("string"))
     if "received_at" in incoming.columns and received_at is None:
         stamped = incoming
-    versions = classify(history, stamped, previous_as_of, block)
-    grown = versions.drop("outcome", "duplicates")
+    versions = classify(affected(history, incoming), stamped, previous_as_of, block)
+    new = new_versions(versions)
+    grown = new if history is None else history.unionByName(new, allowMissingColumns=True)
     return Merge(versions, grown, current_events(grown), outcome_counts(versions))
 
 
+def refreshed_current(current, versions):
+    """Current events after an increment: untouched ones as they were, touched ones from their versions."""
+    touched = current_events(versions.drop("outcome", "duplicates"))
+    if current is None:
+        return touched
+    return current.join(touched.select("event_id"), "event_id", "left_anti").unionByName(touched, allowMissingColumns=True)
+
+
 def current_events(history):
     """Highest revision of each event; combined before the shuffle, so version counts per event do not matter."""
     rest = [name for name in history.columns if name != "event_id"]

@@ -108,9 +108,8 @@ def group_findings(events, snapshot, later_snapshot, cutoff, groups, top=5):
         "incident_id", F.col("assignment_group").alias("group"), "state", "opened_at", "is_open", "age_hours",
         "reassignment_count")
     ids = chosen.select("incident_id", "group")
-    # Semi join first: only members' events are read further, pre-aggregated per incident.
-    members = visible_events(events, cutoff).join(ids.select("incident_id"), "incident_id", "left_semi")
-    first = members.groupBy("incident_id").agg(
+    # Events collapse to one row per incident before the membership join, so a hot incident never meets a join.
+    first = visible_events(events, cutoff).groupBy("incident_id").agg(
         F.min(F.struct(*ORDER, "assignment_group")).getField("assignment_group").alias("first_group"),
         (F.min("assignment_group") == F.max("assignment_group")).alias("single_group")).join(ids, "incident_id")
     later = later_snapshot.select("incident_id", F.col("assignment_group").alias("later_group"),

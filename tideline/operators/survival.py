@@ -232,7 +232,9 @@ def ipcw_brier(rows, survival, keys, censor_curve, by=(), hours=HORIZONS):
     unstable = F.when(F.col("g_own") < SUPPORT_FLOOR, F.raise_error(F.lit("Unstable censoring weights")).cast("double"))
     loss = (F.when(~supported, F.lit(0.0)).when(done, s * s / F.coalesce(unstable, F.col("g_own")))
             .when(alive, (1 - s) * (1 - s) / F.col("g_horizon")).otherwise(F.lit(0.0)))
-    joined = weighted.crossJoin(F.broadcast(support)).join(survival, [*keys, "hours"])
+    # Without keys the survival table has one row per horizon.
+    table = survival if keys else F.broadcast(survival)
+    joined = weighted.crossJoin(F.broadcast(support)).join(table, [*keys, "hours"])
     return joined.groupBy(*by, "hours").agg(
         F.sum("m").alias("n"), F.when(F.max("g_horizon") >= SUPPORT_FLOOR, F.sum(F.col("m") * loss) / F.sum("m")).alias("ipcw_brier"),
         F.sum(F.when(supported & (done | alive), F.col("m")).otherwise(0)).alias("known_outcomes"))

@@ -120,11 +120,11 @@ def demand_violations(spark, sf_dir):
 
 
 @query("q_source_revisions", "WITH " + DEMAND_SQL + """,
-older AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS value FROM lineitem WHERE l_suppkey % 50 <> 1 GROUP BY 1)
+older AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS value FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
 SELECT count(*) FILTER (WHERE d.value <> o.value) AS changed_dates, CAST(sum(abs(d.value - o.value)) AS BIGINT) AS absolute_revised,
   CAST(sum(d.value - o.value) AS BIGINT) AS net_revised FROM demand d JOIN older o ON o.day = d.day WHERE d.series = 'TOTAL'""")
 def source_revisions(spark, sf_dir):
-    old = lines(spark, sf_dir).filter("l_suppkey % 50 <> 1").groupBy(F.to_date(TIME).alias("day")).agg(F.count("*").alias("value"))
+    old = lines(spark, sf_dir).filter("l_returnflag <> 'R'").groupBy(F.to_date(TIME).alias("day")).agg(F.count("*").alias("value"))
     now = dense(spark, sf_dir).filter(F.col("series") == dm.TOTAL).select("day", "value")
     return dm.source_revisions(old, now)
 
@@ -155,8 +155,7 @@ def arrivals_by_month(spark, sf_dir):
     return dm.arrivals_by_month(read_table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("q_history_baselines", """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS v FROM orders WHERE o_orderpriority = '1-URGENT' AND
-  o_orderstatus = 'F' AND o_custkey % 3 = 0 GROUP BY 1),
+@query("q_history_baselines", """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS v FROM orders GROUP BY 1),
 s AS (SELECT min(day) AS a, max(day) AS b FROM c),
 dense AS (SELECT d.day, coalesce(v, 0) AS v, date_diff('day', a, d.day) AS i, date_diff('day', a, b) + 1 AS n
   FROM s, (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day) d
@@ -169,10 +168,8 @@ SELECT count(*) AS evaluation_days, min(day) AS evaluation_start, round(avg(v),
   round(avg(abs(v - m7)), 6) AS last_7_days_mean, round(avg(abs(v)), 6) AS zero_control
 FROM t WHERE i >= greatest(28, floor(n * CAST(0.7 AS DOUBLE)))""")
 def history_baselines(spark, sf_dir):
-    """A sparse arrival series: one kind of order of a third of the customers."""
-    sparse = read_table(spark, sf_dir, "orders").filter(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0))
-    return rounded(dm.history_baselines(sparse.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("value"))))
+    arrivals = read_table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("value"))
+    return rounded(dm.history_baselines(arrivals))
 
 
 # ---- calendar and features ----------------------------------------------------------------------------------

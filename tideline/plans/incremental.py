@@ -51,18 +51,19 @@ def run(spark, root, registry, envelopes, as_of, dataset_sha256, code_version="1
     checked = materialize(normalized_deliveries(new), "checked")
     incoming = normalize.accepted(checked, extra=DELIVERY)
     old = publish.published_table(spark, root, "event_revisions", previous) if previous is not None else None
-    merge.require_consistent(old, incoming)
+    touched = merge.affected(old, incoming)
+    merge.require_consistent(touched, incoming)
     previous_as_of = previous["as_of"] if previous is not None else None
     attempt = publish.new_attempt(run_id)
     path = f"{root}/{attempt}"
-    versions = materialize(merge.classify(old, incoming.withColumn("received_at", F.lit(generated_at)), previous_as_of),
+    versions = materialize(merge.classify(touched, incoming.withColumn("received_at", F.lit(generated_at)), previous_as_of),
                            "versions")
     stats = merge.merge_stats(merge.outcome_counts(versions), checked)
-    revisions = versions.drop("outcome", "duplicates")
-    publish.write_tables({"event_revisions": revisions, "quarantine": normalize.quarantined(
-        checked, extra=("batch_id", "revision"))}, path)
-    events = merge.current_events(spark.read.parquet(f"{path}/event_revisions"))
-    publish.write_tables({"events": events}, path)
+    before_events = publish.published_table(spark, root, "events", previous) if previous is not None else None
+    publish.write_tables({
+        "event_revisions": merge.new_versions(versions),
+        "quarantine": normalize.quarantined(checked, extra=("batch_id", "revision")),
+        "events": merge.refreshed_current(before_events, versions)}, path)
     events = spark.read.parquet(f"{path}/events")
     gate = normalize.quality_gate(
         stats.select("reject_rate").crossJoin(events.agg(F.count("*").alias("events"))), max_reject_rate)
@@ -77,7 +78,7 @@ def run(spark, root, registry, envelopes, as_of, dataset_sha256, code_version="1
         "fact_incident_snapshot": star.fact_snapshot(stage, *dims),
         "fact_incident_history": hist.incident_history(events, as_of),
         "fact_daily_queue": hist.daily_queue(summary, as_of),
-        "processed": processed.unionByName(chosen.select("batch_id", "sha256"))}, path)
+        "processed": chosen.select("batch_id", "sha256")}, path)
     fact, history, daily = (spark.read.parquet(f"{path}/{name}") for name in
                             ("fact_incident_snapshot", "fact_incident_history", "fact_daily_queue"))
     normalize.enforce(star.join_grain(stage, fact), "Dimensional joins changed the incident grain")

@@ -207,14 +207,14 @@ counts AS (SELECT day, count(*) FILTER (WHERE page = 'it') AS it, count(*) FILTE
   count(*) FILTER (WHERE page = 'resolution') AS resolution, count(*) AS total FROM accepted WHERE r <= {cap} GROUP BY day)"""
 
 
-@query("q_page_views", "WITH " + PAGE_SQL.format(cap=150) + """ SELECT d.day, coalesce(it, 0) AS it, coalesce(forecast, 0) AS forecast, coalesce(resolution, 0) AS resolution, coalesce(total, 0) AS total
+@query("q_page_views", "WITH " + PAGE_SQL.format(cap=10000) + """ SELECT d.day, coalesce(it, 0) AS it, coalesce(forecast, 0) AS forecast, coalesce(resolution, 0) AS resolution, coalesce(total, 0) AS total
 FROM (SELECT CAST(unnest(generate_series(max(day) - 27, max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM counts) d LEFT JOIN counts c ON c.day = d.day
 WHERE d.day >= (SELECT min(day) FROM counts)""")
 def page_views(spark, sf_dir):
-    """The closed 28 days before the day after the log ends. A low daily cap makes its ordering matter."""
+    """The closed 28 days before the day after the log ends, in arrival order up to the daily limit of the counter."""
     rows = beacons(spark, sf_dir)
     today = rows.agg(F.to_date(F.max("at"))).first()[0] + timedelta(days=1)
-    return op.usage_summary(op.page_counts(rows, cap=150), today)
+    return op.usage_summary(op.page_counts(rows), today)
 
 
 @query("q_page_totals", "WITH " + PAGE_SQL.format(cap=10000) + """ SELECT max(day) - 27 AS start, max(day) AS through, CAST(sum(total) AS BIGINT) AS total_views, CAST(sum(it) AS BIGINT) AS it,

@@ -17,6 +17,7 @@ POINTER = T.StructType([
 # Published tables; ``incidents`` is another name for the snapshot fact's files.
 PARTITIONED = {"events": ["event_date"]}
 ALIASES = {"incidents": "fact_incident_snapshot"}
+APPEND_ONLY = ("event_revisions", "quarantine", "processed")
 
 
 def exists(spark, path):
@@ -59,8 +60,17 @@ def write_tables(tables, path):
         writer.parquet(f"{path}/{name}")
 
 
+def committed_attempts(spark, root):
+    """Attempts behind the pointer, oldest first (one per run)."""
+    rows = spark.read.schema(POINTER).json(f"{root}/commits").orderBy("sequence").select("attempt").collect()
+    return [row["attempt"] for row in rows]
+
+
 def published_table(spark, root, name, pointer=None):
+    """A table of the committed attempt. Append-only tables are the union of what every committed attempt added."""
     pointer = pointer or read_pointer(spark, root)
+    if name in APPEND_ONLY:
+        return spark.read.parquet(*[f"{root}/{attempt}/{name}" for attempt in committed_attempts(spark, root)])
     return spark.read.parquet(f"{root}/{pointer['attempt']}/{ALIASES.get(name, name)}")
 
 
@@ -75,6 +85,10 @@ def create_catalog_tables(spark, root, names, database="default"):
     """External tables over the committed attempt; recreated when a new attempt is published."""
     pointer = read_pointer(spark, root)
     for name in [*names, *[alias for alias, target in ALIASES.items() if target in names]]:
+        if name in APPEND_ONLY:
+            paths = ", ".join(f"SELECT * FROM parquet.`{root}/{attempt}/{name}`" for attempt in committed_attempts(spark, root))
+            spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS " + paths.replace(", SELECT", " UNION ALL SELECT"))
+            continue
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
         spark.catalog.createTable(f"{database}.{name}", path=f"{root}/{pointer['attempt']}/{ALIASES.get(name, name)}",
                                   source="parquet")
