@@ -53,20 +53,29 @@ classified AS (SELECT *, CASE WHEN NOT is_new THEN 'kept' WHEN seen IS NULL THEN
     new_copies - CASE WHEN is_new THEN 1 ELSE 0 END AS duplicates FROM prior)"""
 
 
-def merged(spark, sf_dir):
+def merged_with_history(spark, sf_dir):
     """Deliveries up to ``PREVIOUS`` merged first and stored, the rest merged onto that history."""
     rows = version_rows(spark, sf_dir)
     old = rows.filter(F.col("available_as_of") <= PREVIOUS)
     new = rows.filter(F.col("available_as_of") > PREVIOUS)
     history = materialize(merge.merge_deliveries(None, old).history, "history")
-    return merge.merge_deliveries(history, new, PREVIOUS)
+    result = merge.merge_deliveries(history, new, PREVIOUS)
+    return result._replace(versions=materialize(result.versions, "versions")), history
+
+
+def merged(spark, sf_dir):
+    return merged_with_history(spark, sf_dir)[0]
 
 
 @query("q_merge_events", "WITH " + MERGED_SQL + """
 SELECT event_id, revision, incident_id, batch_id, updated_at, outcome, late_arrival, duplicates FROM classified""")
 def merge_events(spark, sf_dir):
-    return merged(spark, sf_dir).versions.select("event_id", "revision", "incident_id", "batch_id", "updated_at", "outcome",
-                                                 "late_arrival", "duplicates")
+    """Every version with its outcome; versions of events this run did not touch are simply kept."""
+    result, history = merged_with_history(spark, sf_dir)
+    columns = ["event_id", "revision", "incident_id", "batch_id", "updated_at", "outcome", "late_arrival", "duplicates"]
+    untouched = (history.join(result.versions.select("event_id").distinct(), "event_id", "left_anti")
+                 .withColumns({"outcome": F.lit("kept"), "duplicates": F.lit(0)}))
+    return result.versions.select(*columns).unionByName(untouched.select(*columns))
 
 
 @query("q_current_events", "WITH " + MERGED_SQL + """
