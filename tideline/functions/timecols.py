@@ -6,13 +6,18 @@ from tideline.functions.text import strip
 MICROS_PER_HOUR = 3_600_000_000.0
 
 
-def parse_day_first(column):
-    """``d/m/yyyy H:M`` to TIMESTAMP_NTZ; null for anything else (including impossible dates)."""
-    text = strip(column)
+def parse_day_first(column, stripped=False):
+    """``d/m/yyyy H:M`` to TIMESTAMP_NTZ; null for anything else (including impossible dates).
+
+    One shape check, then plain substring work, which is far cheaper per row than a regex split.
+    """
+    text = column if stripped else strip(column)
     shaped = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{1,2}$"), text)
-    part = F.split(shaped, r"[/:\s]+")
-    number = lambda i: F.get(part, F.lit(i)).cast("int")
-    return F.try_make_timestamp_ntz(number(2), number(1), number(0), number(3), number(4), F.lit(0))
+    rest = F.substring_index(shaped, "/", -1)
+    clock = strip(F.substring(rest, 5, 100))
+    parts = (F.substring(rest, 1, 4), F.substring_index(F.substring_index(shaped, "/", 2), "/", -1),
+             F.substring_index(shaped, "/", 1), F.substring_index(clock, ":", 1), F.substring_index(clock, ":", -1))
+    return F.try_make_timestamp_ntz(*[part.cast("int") for part in parts], F.lit(0))
 
 
 def micros_between(start, end):

@@ -34,8 +34,8 @@ def segment_events(events, cutoff, hours=1):
     """Visible events with their position, previous state and next time inside (incident, segment)."""
     if 24 % hours:
         raise ValueError("Segments must divide a day")
-    seen = visible_events(events, cutoff).withColumn(
-        "segment", F.floor(F.timestamp_diff("HOUR", ntz("1970-01-01 00:00:00"), F.col("updated_at")) / hours))
+    day = F.date_diff(F.to_date("updated_at"), F.lit("1970-01-01").cast("date"))
+    seen = visible_events(events, cutoff).withColumn("segment", day * (24 // hours) + F.floor(F.hour("updated_at") / hours))
     window = Window.partitionBy("incident_id", "segment").orderBy(*ORDER)
     return (seen.withColumn("position", F.row_number().over(window))
             .withColumn("before_state", F.lag("state").over(window))
@@ -102,7 +102,7 @@ def snapshot_keys(snapshot, cutoff):
 def daily_queue(summary, cutoff, days=60, hours=1):
     """Daily flows and running backlog; days without events are kept, only the last ``days`` returned."""
     epoch = F.lit("1970-01-01").cast("date")
-    flows = (summary.withColumn("date", F.date_add(epoch, F.floor(F.col("segment") * hours / 24).cast("int")))
+    flows = (summary.withColumn("date", F.date_add(epoch, F.floor(F.col("segment") / (24 // hours)).cast("int")))
              .groupBy("date").agg(
                  F.count_if(F.col("prior_state").isNull()).alias("first_observed"),
                  F.sum(F.col("inner_entries") + F.col("edge_entry").cast("int")).alias("resolved_transitions"),

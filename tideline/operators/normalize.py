@@ -31,13 +31,13 @@ def validate_headers(columns):
 
 def _counter(name):
     """Non-negative integer text as BIGINT, else null."""
-    text = strip(F.col(name))
+    text = F.col(f"_text_{name}")
     return F.when(text.rlike(r"^\d+$"), text).try_cast("bigint")
 
 
 def _date_error(name, parsed):
-    empty = F.col(name).isNull() | strip(F.col(name)).isin("", "?")
-    return F.when(empty, F.lit(f"missing_{name}")).when(parsed.isNull(), F.lit(f"invalid_{name}"))
+    text = F.col(f"_text_{name}")
+    return F.when(text.isNull() | text.isin("", "?"), F.lit(f"missing_{name}")).when(parsed.isNull(), F.lit(f"invalid_{name}"))
 
 
 def validate_rows(raw):
@@ -49,10 +49,10 @@ def validate_rows(raw):
     for name in OPTIONAL:
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
-    parsed = raw.select(
-        "*", clean_text(F.col("number")).alias("_incident"), clean_text(F.col("incident_state")).alias("_state"),
-        *[parse_day_first(F.col(name)).alias(f"_{name}") for name in DATES],
-        *[_counter(name).alias(f"_{name}") for name in COUNTERS])
+    texts = raw.select("*", *[strip(F.col(name)).alias(f"_text_{name}") for name in (*DATES, *COUNTERS)],
+                       clean_text(F.col("number")).alias("_incident"), clean_text(F.col("incident_state")).alias("_state"))
+    parsed = texts.select("*", *[parse_day_first(F.col(f"_text_{name}"), stripped=True).alias(f"_{name}") for name in DATES],
+                          *[_counter(name).alias(f"_{name}") for name in COUNTERS])
     reasons = [
         F.when(F.col("_incident") == UNKNOWN, F.lit("missing_incident_id"))
         .when(~F.col("_incident").rlike(r"^INC\d+$"), F.lit("invalid_incident_id")),
@@ -62,9 +62,10 @@ def validate_rows(raw):
     ]
     for name in COUNTERS:
         bad = F.col(f"_{name}").isNull()
-        reasons.append(F.when(bad & strip(F.col(name)).startswith("-"), F.lit(f"negative_{name}")))
+        reasons.append(F.when(bad & F.col(f"_text_{name}").startswith("-"), F.lit(f"negative_{name}")))
         reasons.append(F.when(bad, F.lit(f"invalid_{name}")))
-    return parsed.withColumn("errors", F.array_compact(F.array(*reasons)))
+    return parsed.withColumn("errors", F.array_compact(F.array(*reasons))).drop(
+        *[f"_text_{name}" for name in (*DATES, *COUNTERS)])
 
 
 def project_event(checked, extra=()):

@@ -84,49 +84,50 @@ def _duplicates(table, key):
     return table.groupBy(key).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("bad"))
 
 
-def integrity_checks(events, fact, history, groups, priorities, dates, summary_row, group_table, daily, cutoff):
-    """Sixteen named checks, one row each. Every check is an aggregate; rows never leave the executors."""
-    bad_keys = fk_violations(fact, groups, priorities, dates).groupBy("foreign_key").agg(F.sum("rows").alias("n"))
-
-    def check(name, counted):
-        return counted.select(F.lit(name).alias("name"), F.col("bad").alias("violations"))
+def _named(row, **columns):
+    """One-row aggregate to one ``(name, violations)`` row per column, so shared scans happen once."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), column.cast("bigint").alias("violations"))
+                                for name, column in columns.items()]))
+    return row.select(pairs.alias("c")).select("c.*")
 
-    def foreign(name, *columns):
-        return check(name, bad_keys.filter(F.col("foreign_key").isin(*columns)).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("bad")))
 
-    fact_counts = fact.agg(
+def integrity_checks(events, fact, history, groups, priorities, dates, summary_row, group_table, daily, cutoff):
+    """Sixteen named checks, one row each. Every check is an aggregate; rows never leave the executors.
+
+    ``summary_row`` and ``group_table`` are the report tables being checked (stored, not recomputed per check).
+    """
+    missing = fk_violations(fact, groups, priorities, dates).agg(*[
+        F.coalesce(F.sum(F.when(F.col("foreign_key").isin(*columns), F.col("rows"))), F.lit(0)).alias(name)
+        for name, columns in (("dates", ("opened_date_key", "snapshot_date_key")), ("groups", ("group_key",)),
+                              ("priorities", ("priority_key",)))])
+    durations = fact.agg(
         F.count_if((F.col("resolution_hours") < 0) | (F.col("age_hours") < 0)).alias("negative"),
         F.count_if(F.col("updated_at") > ntz(cutoff)).alias("future"))
-    current = history.groupBy("incident_id").agg(F.count_if("is_current").alias("n"))
-    balance = summary_row.select((F.col("incidents") != F.col("backlog") + F.col("resolved")).cast("int").alias("bad"))
-    grouped = (group_table.agg(F.sum("incidents").alias("n")).crossJoin(summary_row)
-               .select((F.col("n") != F.col("incidents")).cast("int").alias("bad")))
-    last_day = (daily.agg(F.max_by("backlog", "date").alias("n")).crossJoin(summary_row.select("backlog"))
-                .select((F.col("n") != F.col("backlog")).cast("int").alias("bad")))
-    parts = [
-        check("event_identity_unique", _duplicates(events, "event_id")),
-        check("incident_grain_unique", _duplicates(fact, "incident_id")),
-        check("group_dimension_unique", _duplicates(groups, "group_key")),
-        check("priority_dimension_unique", _duplicates(priorities, "priority_key")),
-        check("date_dimension_unique", _duplicates(dates, "date_key")),
-        foreign("date_foreign_keys_valid", "opened_date_key", "snapshot_date_key"),
-        foreign("group_foreign_keys_valid", "group_key"),
-        foreign("priority_foreign_keys_valid", "priority_key"),
-        check("one_current_history_row", current.agg(F.count_if(F.col("n") != 1).alias("bad"))),
-        check("nonnegative_durations", fact_counts.select(F.col("negative").alias("bad"))),
-        check("history_intervals_valid", history.agg(F.count_if(F.col("valid_to") < F.col("valid_from")).alias("bad"))),
-        check("no_future_events_in_mart", fact_counts.select(F.col("future").alias("bad"))),
-        check("incident_balance", balance),
-        check("group_totals_reconcile", grouped),
-        check("last_daily_backlog_reconciles", last_day),
-        check("daily_flow_balance", daily.agg(F.count_if(~F.col("balance_ok")).alias("bad"))),
+    current = history.groupBy("incident_id").agg(
+        F.count_if("is_current").alias("n"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("reversed")).agg(
+        F.count_if(F.col("n") != 1).alias("current"), F.coalesce(F.sum("reversed"), F.lit(0)).alias("reversed"))
+    totals = (summary_row.select("incidents", "backlog", "resolved")
+              .crossJoin(group_table.agg(F.sum("incidents").alias("grouped")))
+              .crossJoin(daily.agg(F.max_by("backlog", "date").alias("last_backlog"), F.count_if(~F.col("balance_ok")).alias("unbalanced"))))
+    wrong = lambda condition: condition.cast("int")
+    parts = [_named(_duplicates(table, key), **{name: F.col("bad")}) for name, table, key in (
+        ("event_identity_unique", events, "event_id"), ("incident_grain_unique", fact, "incident_id"),
+        ("group_dimension_unique", groups, "group_key"), ("priority_dimension_unique", priorities, "priority_key"),
+        ("date_dimension_unique", dates, "date_key"))]
+    parts += [
+        _named(missing, date_foreign_keys_valid=F.col("dates"), group_foreign_keys_valid=F.col("groups"),
+               priority_foreign_keys_valid=F.col("priorities")),
+        _named(current, one_current_history_row=F.col("current"), history_intervals_valid=F.col("reversed")),
+        _named(durations, nonnegative_durations=F.col("negative"), no_future_events_in_mart=F.col("future")),
+        _named(totals, incident_balance=wrong(F.col("incidents") != F.col("backlog") + F.col("resolved")),
+               group_totals_reconcile=wrong(F.col("grouped") != F.col("incidents")),
+               last_daily_backlog_reconciles=wrong(F.col("last_backlog") != F.col("backlog")),
+               daily_flow_balance=F.col("unbalanced")),
     ]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result.select("name", F.col("violations").cast("bigint").alias("violations"),
-                         (F.col("violations") == 0).alias("passed"))
+    return result.withColumn("passed", F.col("violations") == 0)
 
 
 def enforce_integrity(checks):

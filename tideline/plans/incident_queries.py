@@ -302,4 +302,5 @@ def integrity(spark, sf_dir):
     groups, priorities, dates = dimensions(spark, sf_dir)
     return star.integrity_checks(
         events, fact, history.incident_history(events, CUTOFF), groups, priorities, dates,
-        reports.summary(events, fact, CUTOFF), reports.group_priority(fact), history.daily_queue(per_segment, CUTOFF), CUTOFF)
+        materialize(reports.summary(events, fact, CUTOFF), "summary"), materialize(reports.group_priority(fact), "groups"),
+        history.daily_queue(per_segment, CUTOFF), CUTOFF)

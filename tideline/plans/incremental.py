@@ -12,7 +12,8 @@ from tideline.sources import deliveries as batches
 from tideline.sources import publish
 
 TABLES = ("events", "event_revisions", "quarantine", "dim_assignment_group", "dim_priority", "dim_date",
-          "fact_incident_snapshot", "fact_incident_history", "fact_daily_queue", "aggregate_queue", "processed")
+          "fact_incident_snapshot", "fact_incident_history", "fact_daily_queue", "aggregate_queue", "report_summary",
+          "report_groups", "report_profile", "processed")
 
 
 def normalized_deliveries(envelopes):
@@ -82,9 +83,12 @@ def run(spark, root, registry, envelopes, as_of, dataset_sha256, code_version="1
     fact, history, daily = (spark.read.parquet(f"{path}/{name}") for name in
                             ("fact_incident_snapshot", "fact_incident_history", "fact_daily_queue"))
     normalize.enforce(star.join_grain(stage, fact), "Dimensional joins changed the incident grain")
-    publish.write_tables({"aggregate_queue": star.aggregate_queue(fact, *dims[:2])}, path)
-    groups = reports.group_priority(fact)
-    checks = star.integrity_checks(events, fact, history, *dims, reports.summary(events, fact, as_of), groups, daily, as_of)
+    publish.write_tables({
+        "aggregate_queue": star.aggregate_queue(fact, *dims[:2]), "report_summary": reports.summary(events, fact, as_of),
+        "report_groups": reports.group_priority(fact), "report_profile": reports.profile(events)}, path)
+    groups = spark.read.parquet(f"{path}/report_groups")
+    checks = materialize(star.integrity_checks(events, fact, history, *dims, spark.read.parquet(f"{path}/report_summary"),
+                                               groups, daily, as_of), "checks")
     plain = groups.select(F.col("group").alias("group_name"), "priority", "incidents", F.col("open").alias("open_count"),
                           "reopened", "reassigned")
     normalize.enforce(reports.reconcile(spark.read.parquet(f"{path}/aggregate_queue"), plain),
