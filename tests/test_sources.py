@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators import forecast as fc
 from tideline.operators import normalize as nz
 from tideline.plans import incremental
 from tideline.sources import audit_csv, deliveries, publish
@@ -100,6 +101,9 @@ def test_incremental_runs_publish_one_consistent_attempt(spark, tmp_path):
     assert publish.published_table(spark, root, "processed").count() == 2
     publish.register_views(spark, root, ["fact_incident_snapshot", "dim_priority"], "t_")
     assert spark.table("t_incidents").count() == spark.table("t_fact_incident_snapshot").count() == 21
+    publish.create_catalog_tables(spark, root, ["fact_incident_snapshot", "events", "event_revisions"])
+    assert spark.table("default.incidents").count() == 21
+    assert (spark.table("default.events").count(), spark.table("default.event_revisions").count()) == (121, 122)
     with pytest.raises(ValueError, match="cannot move backwards"):
         incremental.run(spark, root, table, rows, WEEKS[0][1], "d1")
     with pytest.raises(ValueError, match="identity changed"):
@@ -107,6 +111,23 @@ def test_incremental_runs_publish_one_consistent_attempt(spark, tmp_path):
     assert publish.read_pointer(spark, root)["attempt"] == second["attempt"]
 
 
+def csv_lines(folder):
+    """Header once, then the rows of all parts."""
+    parts = [path.read_text().splitlines() for path in sorted(folder.glob("*.csv"))]
+    return [next(part[0] for part in parts if part), *[line for part in parts for line in part[1:]]]
+
+
+def test_csv_exports(spark, tmp_path):
+    groups = spark.createDataFrame([("Group, 1", 3, 2, 0, 1)], "group string, incidents int, open int, reopened int, reassigned int")
+    publish.export_queue_csv(groups, str(tmp_path / "q"))
+    lines = csv_lines(tmp_path / "q")
+    assert lines == ['"group","incidents","open","reopened","reassigned"', '"Group, 1","3","2","0","1"']
+    forecast = spark.createDataFrame([("s", "2026-01-01", 90, 80, 100)], "series string, target string, forecast int, lower int, upper int")
+    publish.export_forecast_csv(fc.capacity_excess(forecast, 85), str(tmp_path / "f"))
+    lines = csv_lines(tmp_path / "f")
+    assert lines == ["date,series,forecast,lower,upper,daily_capacity,demand_above_capacity", "2026-01-01,s,90,80,100,85,5"]
+
+
 def test_failed_gate_leaves_the_pointer_alone(spark, tmp_path):
     root, table = str(tmp_path / "p"), registry(spark, *WEEKS)
     bad = [(b, a, p, r, v, {**rec, "incident_state": "nonsense"} if p % 10 == 0 else rec) for b, a, p, r, v, rec in weekly_rows()]

@@ -119,6 +119,13 @@ def demand_violations(spark, sf_dir):
     return dm.demand_violations(twice, ["A", "N", "R"], low, high)
 
 
+@query("q_demand_quality", "WITH " + DEMAND_SQL + """ SELECT count(DISTINCT day) AS days, count(*) AS rows,
+  CAST(sum(CASE WHEN series = 'F' THEN 0 ELSE value END) AS BIGINT) AS unknown_requests FROM counted""")
+def demand_quality(spark, sf_dir):
+    """Only ``F`` counts as a named area here; the rest are requests outside the named ones."""
+    return dm.demand_quality(counted(spark, sf_dir)[0], ["F"])
+
+
 @query("q_source_revisions", "WITH " + DEMAND_SQL + """,
 older AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS value FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
 SELECT count(*) FILTER (WHERE d.value <> o.value) AS changed_dates, CAST(sum(abs(d.value - o.value)) AS BIGINT) AS absolute_revised,

@@ -96,6 +96,23 @@ def create_catalog_tables(spark, root, names, database="default"):
             spark.catalog.recoverPartitions(f"{database}.{name}")
 
 
+# Column order of the two public CSV files.
+QUEUE_CSV = ("group", "incidents", "open", "reopened", "reassigned")
+FORECAST_CSV = {"target": "date", "series": "series", "forecast": "forecast", "lower": "lower", "upper": "upper",
+                "daily_capacity": "daily_capacity", "above_capacity": "demand_above_capacity"}
+
+
+def export_queue_csv(filtered_groups, path):
+    """Queue health per group; the text column is quoted."""
+    filtered_groups.select(*QUEUE_CSV).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+
+def export_forecast_csv(excess, path):
+    """Forecast days with the demand above a daily capacity."""
+    excess.select(*[F.col(name).alias(shown) for name, shown in FORECAST_CSV.items()]).write.mode("overwrite").option(
+        "header", True).csv(path)
+
+
 def commit(spark, root, attempt, run_id, as_of, dataset_sha256, quality, generated_at, gate, checks):
     """Gates first, pointer last. Every commit is a new directory, so two writers cannot both take a sequence."""
     enforce(gate, "Quality gate failed")

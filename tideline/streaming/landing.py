@@ -6,34 +6,41 @@ micro-batch, whose version folder is then overwritten with the same content.
 from pyspark.sql import functions as F
 
 from tideline.operators import merge
+from tideline.operators.normalize import accepted, envelope_violations, quarantined
 from tideline.plans.incremental import DELIVERY, normalized_deliveries
-from tideline.operators.normalize import accepted
-from tideline.session import read_table  # noqa: F401  (part of the public surface of the package)
+from tideline.session import materialize
+from tideline.sources.publish import exists
 
 
 def stored_history(spark, path, before):
     """Versions committed by earlier micro-batches, or None."""
-    from tideline.sources.publish import exists
     if not exists(spark, path):
         return None
     return spark.read.parquet(path).filter(F.col("micro_batch") < before).drop("micro_batch")
 
 
-def merge_micro_batch(path, previous_as_of=None):
-    """``foreachBatch`` body: classify the batch against the stored history and store only its new versions."""
+def _store(table, batch_id, path):
+    (table.withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(path))
+
+
+def merge_micro_batch(path, previous_as_of=None, quarantine_path=None):
+    """``foreachBatch`` body: classify the batch against the history it touches and store only its new versions."""
     def body(frame, batch_id):
-        spark = frame.sparkSession
-        incoming = accepted(normalized_deliveries(frame), extra=DELIVERY)
-        old = stored_history(spark, path, batch_id)
+        if not envelope_violations(frame).isEmpty():
+            raise ValueError("Invalid identity or revision in batch envelope")
+        checked = materialize(normalized_deliveries(frame), "checked")
+        incoming = accepted(checked, extra=DELIVERY)
+        old = merge.affected(stored_history(frame.sparkSession, path, batch_id), incoming)
         merge.require_consistent(old, incoming)
-        new = merge.classify(old, incoming, previous_as_of).filter(F.col("outcome") != "kept").drop("duplicates")
-        (new.drop("outcome").withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(path))
+        _store(merge.new_versions(merge.classify(old, incoming, previous_as_of)), batch_id, path)
+        if quarantine_path:
+            _store(quarantined(checked, extra=("batch_id", "revision")), batch_id, quarantine_path)
     return body
 
 
-def watch_landing(spark, landing, schema, history_path, checkpoint, previous_as_of=None):
+def watch_landing(spark, landing, schema, history_path, checkpoint, previous_as_of=None, quarantine_path=None):
     """Process everything that has landed, then stop. ``schema`` describes one delivery line."""
-    stream = (spark.readStream.schema(schema).json(landing))
-    return (stream.writeStream.foreachBatch(merge_micro_batch(history_path, previous_as_of))
+    stream = spark.readStream.schema(schema).json(landing)
+    return (stream.writeStream.foreachBatch(merge_micro_batch(history_path, previous_as_of, quarantine_path))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
