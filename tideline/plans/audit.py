@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import clean_text
 from tideline.operators.normalize import validate_rows
-from tideline.session import read_table
+from tideline.session import read_table, spread
 
 CUTOFF = "2024-01-20 12:00:00"
 
@@ -124,7 +124,7 @@ def raw_rows(spark, sf_dir):
 
 
 def checked_rows(spark, sf_dir):
-    return validate_rows(raw_rows(spark, sf_dir))
+    return validate_rows(spread(raw_rows(spark, sf_dir)))
 
 
 CHECKED_SQL = AUDIT_SQL + """, text AS (

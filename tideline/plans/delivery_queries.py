@@ -1,11 +1,12 @@
 """Queries over deliveries: packaging, verification, merging, publication."""
 from pyspark.sql import functions as F
 
+from tideline.functions.timecols import week_end
 from tideline.operators import merge, normalize, reports
 from tideline.plans import incremental
 from tideline.plans.audit import CHECKED_SQL, RAW_SOURCE, checked_rows, raw_rows
 from tideline.plans.registry import query, rounded
-from tideline.session import materialize, read_table, scratch_path
+from tideline.session import materialize, read_table, scratch_path, spread
 from tideline.sources import audit_csv, deliveries, publish
 
 PREVIOUS = "1999-06-30 23:59:59"
@@ -14,16 +15,15 @@ CUTOFF = "2001-06-30 23:59:59"
 
 def version_rows(spark, sf_dir, incident=None, content=None):
     """``lineitem`` as revisioned deliveries; every column depends on its own row only."""
-    lines = read_table(spark, sf_dir, "lineitem")
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    lines = spread(read_table(spark, sf_dir, "lineitem").select(*names))
     ship = F.to_date("l_shipdate")
-    landed = F.date_format(F.date_add(F.date_add(ship, (F.col("l_partkey") % 30).cast("int")), 0), "yyyy-MM-dd")
-    week = F.date_format(F.date_add(landed.cast("date"), 6 - F.weekday(landed.cast("date"))), "yyyy-MM-dd")
+    week = week_end(F.date_add(ship, (F.col("l_partkey") % 30).cast("int"))).cast("string")
     revision = (F.col("l_suppkey") % 5 + 1).cast("int")
     return lines.select(
         F.sha2(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), 256).alias("event_id"),
         revision.alias("revision"),
-        F.coalesce(incident, F.concat(F.lit("INC"), F.col("l_orderkey").cast("string"))).alias("incident_id")
-        if incident is not None else F.concat(F.lit("INC"), F.col("l_orderkey").cast("string")).alias("incident_id"),
+        (F.concat(F.lit("INC"), F.col("l_orderkey").cast("string")) if incident is None else incident).alias("incident_id"),
         F.col("l_shipdate").alias("updated_at"),
         F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                            (content if content is not None else revision).cast("string")), 256).alias("content_hash"),

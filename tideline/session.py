@@ -59,5 +59,14 @@ def materialize(df, name, partition_by=None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df):
+    """Rows of an input with fewer splits than cores dealt out evenly, where much work per row follows.
+
+    Inputs of normal size have more splits than that and are left alone, so this adds no shuffle to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
