@@ -59,8 +59,7 @@ def merged_with_history(spark, sf_dir):
     old = rows.filter(F.col("available_as_of") <= PREVIOUS)
     new = rows.filter(F.col("available_as_of") > PREVIOUS)
     history = materialize(merge.merge_deliveries(None, old).history, "history")
-    result = merge.merge_deliveries(history, new, PREVIOUS)
-    return result._replace(versions=materialize(result.versions, "versions")), history
+    return merge.merge_deliveries(history, new, PREVIOUS), history
 
 
 def merged(spark, sf_dir):
@@ -72,10 +71,11 @@ SELECT event_id, revision, incident_id, batch_id, updated_at, outcome, late_arri
 def merge_events(spark, sf_dir):
     """Every version with its outcome; versions of events this run did not touch are simply kept."""
     result, history = merged_with_history(spark, sf_dir)
+    versions = materialize(result.versions, "versions")
     columns = ["event_id", "revision", "incident_id", "batch_id", "updated_at", "outcome", "late_arrival", "duplicates"]
-    untouched = (history.join(result.versions.select("event_id").distinct(), "event_id", "left_anti")
+    untouched = (history.join(versions.select("event_id").distinct(), "event_id", "left_anti")
                  .withColumns({"outcome": F.lit("kept"), "duplicates": F.lit(0)}))
-    return result.versions.select(*columns).unionByName(untouched.select(*columns))
+    return versions.select(*columns).unionByName(untouched.select(*columns))
 
 
 @query("q_current_events", "WITH " + MERGED_SQL + """

@@ -8,7 +8,7 @@ from tideline.operators import demand as dm
 from tideline.operators import forecast as fc
 from tideline.plans import demand_study as study
 from tideline.plans.audit import AUDIT_SQL, audit
-from tideline.plans.demand_sql import (CHALLENGER_SQL, CHOSEN_SQL, CORE_LIST, CORE_SQL, COVARIATE_SQL, DEMAND_SQL, HOLIDAY_SQL,
+from tideline.plans.demand_sql import (CHALLENGER_SQL, CHOSEN_SQL, CORE_SQL, COVARIATE_SQL, DEMAND_SQL, HOLIDAY_SQL,
                                        LONG_SQL, N, OBS_SQL, choice_sql, fits_sql, gram_sql, rank_sql, rows_sql)
 from tideline.plans.registry import query, rounded
 from tideline.session import materialize, read_table

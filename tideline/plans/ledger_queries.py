@@ -7,7 +7,7 @@ from tideline.operators import forecast as fc
 from tideline.operators import ledger as ld
 from tideline.operators import operations as op
 from tideline.plans.demand_queries import dense
-from tideline.plans.demand_sql import DEMAND_SQL, N, OBS_SQL
+from tideline.plans.demand_sql import N, OBS_SQL
 from tideline.plans.registry import query, rounded
 from tideline.session import materialize, read_table
 
