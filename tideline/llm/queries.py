@@ -1,5 +1,6 @@
 """Every query of this package, for the driver's entry."""
-from . import decontamination, fingerprints, licenses, mixing, registry, secretscan, urlfilter  # noqa: F401
+from . import (decontamination, fingerprints, licenses, mixing, passages, registry, secretscan, suffixes,  # noqa: F401
+               urlfilter)
 
 
 def queries():
