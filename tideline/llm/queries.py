@@ -1,5 +1,5 @@
 """Every query of this package, for the driver's entry."""
-from . import (decontamination, fingerprints, licenses, mixing, passages, registry, secretscan, suffixes,  # noqa: F401
+from . import (decontamination, fingerprints, licenses, mixing, neardup, passages, quality, registry, secretscan, suffixes,  # noqa: F401
                urlfilter)
 
 

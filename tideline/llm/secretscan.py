@@ -92,7 +92,7 @@ def scan(docs, ratios, threshold=THRESHOLD):
     """Every row of ``docs``, all its columns, plus ``spans``: (start, kind, stop, value) in code points, by start, then kind (of KINDS).
 
     Kinds 0 to 2 are the fixed patterns' matches, which all stay; kind 3 are further strings that the models call random and that touch no
-    other span. A null text counts as empty. Rows are judged one by one; nothing is shuffled.
+    other span. A null text counts as empty. A column named ``spans`` is replaced. Rows are judged one by one; nothing is shuffled.
     """
     found = _with_spans(_plain(docs), PATTERNS)
     found = _with_spans(found.withColumn("base_", F.concat("assign_", "access_", "hex_")), (("cand", CANDIDATE, 20),), 3)
@@ -106,13 +106,13 @@ def fit(docs, **bounds):
 
 def redact(docs, ratios, threshold=THRESHOLD, mark="[SECRET]"):
     """``docs`` with every span, overlapping ones as one, replaced by a mark; n_chars follows where there is such a column. Texts without spans stay."""
-    found = scan(docs, ratios, threshold)
+    found = scan(docs.withColumnRenamed("spans", "kept_spans_"), ratios, threshold)
     cut = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.stop), 'out', if(s.start < a.at, a.out,
         concat(a.out, substring(text, a.at + 1, s.start - a.at), '{mark}'))), a -> concat(a.out, substring(text, a.at + 1, length(text))))"""
     out = found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {cut})"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("if(size(spans) = 0, n_chars, cast(length(text) as bigint))"))
-    return out.select(docs.columns)
+    return out.drop("spans").withColumnRenamed("kept_spans_", "spans").select(docs.columns)
 
 
 @query("op10_secret_scans")

@@ -1,4 +1,6 @@
 """Suffix-array dedup of byte strings: suffixes grouped by Lyndon prefix, in linear time, over shards of text that may repeat."""
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -131,26 +133,55 @@ def open_runs(rows, width, gram):
     return rows.mapInArrow(scan, "anchor long, part int, split boolean, doc_id long, content long, known boolean, data binary")
 
 
-def repeated_windows(runs, width):
-    """For each of ``runs`` (bytes) the starts of the windows that also start elsewhere in them, from one suffix array over all."""
-    symbols, origin = [], []
-    for number, data in enumerate(runs):
-        symbols.extend(b + 2 for b in data)
+_BLANKS = re.compile(rb"[^\x00\x09-\x0D\x20]*[\x00\x09-\x0D\x20]")
+
+
+def byte_order(runs, width):
+    """Window starts of ``runs`` (bytes) in the order of their suffixes: arrays ``run, at``.
+
+    The suffix array is built over tokens, a word with the blank that ends it. No token begins another, so the order of token sequences is that of
+    bytes. A suffix that starts inside a token then falls in place by the rest of that token and the rank of the next.
+    """
+    tokens = [_BLANKS.findall(data + b"\0") for data in runs]
+    rests = {}
+    for token in {t for row in tokens for t in row}:
+        rests[token] = [token[i:] for i in range(len(token))]
+    rank = {rest: i for i, rest in enumerate(sorted({x for row in rests.values() for x in row}))}
+    places = {token: np.array([rank[x] for x in row]) for token, row in rests.items()}
+    symbols, byte_rests, following, at = [], [], [], 0
+    for row in tokens:
+        symbols.extend([rank[t] + 2 for t in row])
         symbols.append(1)
-        origin.extend((number, i) for i in range(len(data) - width + 1))
-        origin.extend([None] * width)
+        byte_rests.extend([places[t] for t in row])
+        following.append(np.repeat(np.arange(at + 1, at + 1 + len(row)), [len(t) for t in row]))
+        at = len(symbols)
     symbols.append(0)
-    text = b"".join(data + b"\0" for data in runs)
-    places = [i for i in suffix_array(symbols) if i < len(origin) and origin[i] is not None]
-    found, before, same_before = [[] for _ in runs], None, False
-    for i in places:
-        now = text[i:i + width]
-        same = now == before
-        if same and not same_before:
-            found[origin[last][0]].append(origin[last][1])
-        if same:
-            found[origin[i][0]].append(origin[i][1])
-        before, same_before, last = now, same, i
+    token_rank = np.empty(len(symbols), np.int64)
+    token_rank[suffix_array(symbols)] = np.arange(len(symbols))
+    keys = np.concatenate(byte_rests) * len(symbols) + token_rank[np.concatenate(following)]
+    lengths = np.array([len(data) + 1 for data in runs])
+    run = np.repeat(np.arange(len(runs)), lengths)
+    at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    start = np.flatnonzero(at + width < lengths[run])
+    start = start[np.argsort(keys[start], kind="stable")]
+    return run[start], at[start]
+
+
+def repeated_windows(runs, width):
+    """For each of ``runs`` (bytes) the starts of the windows that also start elsewhere in them, from one suffix array over all."""
+    run, at = byte_order(runs, width)
+    lengths = np.array([len(data) + 1 for data in runs])
+    text = np.frombuffer(b"".join(data + b"\0" for data in runs), np.uint8)
+    place = (np.cumsum(lengths) - lengths)[run] + at
+    same = np.zeros(len(place) + 1, bool)
+    reach = np.arange(width)
+    for a in range(0, len(place) - 1, 4096):
+        block = text[place[a:a + 4097, None] + reach]
+        same[a + 1:a + len(block)] = (block[1:] == block[:-1]).all(1)
+    twice = same[:-1] | same[1:]
+    found = [[] for _ in runs]
+    for number, i in zip(run[twice].tolist(), at[twice].tolist(), strict=True):
+        found[number].append(i)
     return found
 
 
