@@ -30,6 +30,7 @@ class Shard:
         self.width = width
         self.document, self.first, self.last, anchors = winnow.runs(self.values, self.bounds, width, gram)
         self.anchor = anchors.view(np.int64) if len(anchors) else np.zeros(0, np.int64)
+        self.windows = None
 
     def contents(self):
         """A hash of the words of each run, joined by single blanks."""
@@ -40,8 +41,11 @@ class Shard:
                            np.uint64, len(self.first)).view(np.int64)
 
     def window_hashes(self, places):
-        """A second hash, of whole windows."""
-        return winnow.span_hashes(self.values, places, places + self.width, 0x8CB92BA72F3D8DD7).view(np.int64)
+        """A second hash, of whole windows; all of the shard are taken at once, when first asked for."""
+        if self.windows is None:
+            every = np.arange(max(0, len(self.values) - self.width + 1))
+            self.windows = winnow.span_hashes(self.values, every, every + self.width, 0x8CB92BA72F3D8DD7).view(np.int64)
+        return self.windows[places]
 
 
 def shards(batch, width, gram):
