@@ -14,7 +14,7 @@ from .registry import query
 #: Bytes of a repeated string, and of the k-grams that anchor it.
 WIDTH, GRAM = 200, 64
 #: Distinct runs of one anchor that one suffix array holds; more are dealt out, and what meets only across parts is found by counting windows.
-PART_RUNS = 256
+PART_RUNS = 4096
 #: Bytes of one suffix array, about: whole groups are added until it is reached.
 ARRAY_BYTES = 1 << 16
 
@@ -167,68 +167,82 @@ def byte_order(runs, width):
     return run[start], at[start]
 
 
-def repeated_windows(runs, width):
-    """For each of ``runs`` (bytes) the starts of the windows that also start elsewhere in them, from one suffix array over all."""
+def window_classes(runs, width):
+    """Windows of ``runs`` (bytes) in the order of one suffix array over all: arrays ``run, at, place, same``.
+
+    ``place`` is where a window starts in the runs one after another, each with one byte more; ``same`` says whether it equals the window before it.
+    """
     run, at = byte_order(runs, width)
     lengths = np.array([len(data) + 1 for data in runs])
     text = np.frombuffer(b"".join(data + b"\0" for data in runs), np.uint8)
     place = (np.cumsum(lengths) - lengths)[run] + at
-    same = np.zeros(len(place) + 1, bool)
+    same = np.zeros(len(place), bool)
     reach = np.arange(width)
     for a in range(0, len(place) - 1, 4096):
         block = text[place[a:a + 4097, None] + reach]
         same[a + 1:a + len(block)] = (block[1:] == block[:-1]).all(1)
-    twice = same[:-1] | same[1:]
+    return run, at, place, same, text
+
+
+def repeated_windows(runs, width):
+    """For each of ``runs`` the starts of the windows that also start elsewhere in them."""
+    run, at, _, same, _ = window_classes(runs, width)
+    twice = same | np.append(same[1:], False)
     found = [[] for _ in runs]
     for number, i in zip(run[twice].tolist(), at[twice].tolist(), strict=True):
         found[number].append(i)
     return found
 
 
-def shared_inside(runs, width, array_bytes=ARRAY_BYTES):
-    """``doc_id, content, at``: windows that runs of one part share, by suffix arrays over whole parts."""
-    kinds = [("doc_id", pa.int64()), ("content", pa.int64()), ("at", pa.int32())]
+FOUND = [("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("kind", pa.int32())]
+#: Kinds of found rows: a window that repeats; one of a split group that does not inside its part; one that stands for its equals in the part.
+REPEATS, OPEN, STANDS = 0, 1, 2
 
-    def scan(batches):
-        def judge(held):
-            out = [(doc_id, content, at) for (doc_id, content, known, _), places in
-                   zip(held, repeated_windows([x[3] for x in held], width), strict=True) if not known for at in places]
-            return table(kinds, list(zip(*out, strict=True))) if out else None
 
+def judge_part(held, width):
+    """Rows of ``FOUND`` for runs ``(anchor, split, doc_id, content, known, data)``; known runs repeat anyway and only stand for others."""
+    run, at, place, same, text = window_classes([x[5] for x in held], width)
+    twice = same | np.append(same[1:], False)
+    split, known = (np.array([x[i] for x in held], bool)[run] for i in (1, 4))
+    kind = np.where(twice & ~known, REPEATS, np.where(split & ~twice & ~known, OPEN, -1))
+    heads = np.flatnonzero(split & ~same & (twice | known))
+    every = np.concatenate([np.flatnonzero(kind >= 0), heads])
+    if not len(every):
+        return None
+    kinds = np.concatenate([kind[kind >= 0], np.full(len(heads), STANDS)])
+    whole = winnow.span_hashes(text.astype(np.uint64) + np.uint64(1), place[every], place[every] + width, 0x8CB92BA72F3D8DD7).view(np.int64)
+    anchor, doc_id, content = (np.array([x[i] for x in held], object)[run[every]] for i in (0, 2, 3))
+    return table(FOUND, [anchor.tolist(), whole, doc_id.tolist(), content.tolist(), at[every].astype(np.int32), kinds.astype(np.int32)])
+
+
+def shared_windows(runs, width, array_bytes=ARRAY_BYTES):
+    """``doc_id, content, at``: windows that runs of one anchor share, by suffix arrays over whole parts.
+
+    For anchors of more than one part, windows that are single in their part are counted over all parts, against one of each class of equals: by 128
+    bits of hash (their own and their anchor's).
+    """
+    names = ("anchor", "part", "split", "doc_id", "content", "known", "data")
+
+    def scan(batches):
         held, size, group = [], 0, None
         for batch in batches:
-            for anchor, part, doc_id, content, known, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "doc_id", "content", "known", "data")), strict=True):
+            for anchor, part, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (anchor, part) != group and size >= array_bytes:
-                    if (found := judge(held)) is not None:
+                    if (found := judge_part(held, width)) is not None:
                         yield found
                     held, size = [], 0
                 group = (anchor, part)
-                held.append((doc_id, content, known, data))
-                size += len(data)
-        if held and (found := judge(held)) is not None:
+                held.append((anchor, *row))
+                size += len(row[-1])
+        if held and (found := judge_part(held, width)) is not None:
             yield found
 
     dealt = runs.repartition(F.col("anchor"), F.col("part")).sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(scan, "doc_id long, content long, at int")
-
-
-def shared_across(runs, width):
-    """The same for runs of split groups, over all parts: every window counted by 128 bits of hash (its own and its anchor's)."""
-    kinds = [("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("known", pa.bool_()), ("at", pa.int32())]
-
-    def scan(batches):
-        for batch in batches:
-            out = []
-            for anchor, doc_id, content, known, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "content", "known", "data")), strict=True):
-                places = np.arange(len(data) - width + 1)
-                hashes = winnow.span_hashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), places, places + width, 0x8CB92BA72F3D8DD7)
-                out.extend((anchor, h, doc_id, content, known, at) for at, h in enumerate(hashes.view(np.int64).tolist()))
-            if out:
-                yield table(kinds, list(zip(*out, strict=True)))
-
-    windows = stored(runs.where("split").mapInArrow(scan, "anchor long, whole long, doc_id long, content long, known boolean, at int"), "windows")
-    twice = windows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return windows.where("not known").join(twice, ["anchor", "whole"]).select("doc_id", "content", "at")
+    found = stored(dealt.mapInArrow(scan, "anchor long, whole long, doc_id long, content long, at int, kind int"), "found")
+    left = found.where(f"kind <> {REPEATS}")
+    twice = left.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    across = found.where(f"kind = {OPEN}").join(twice, ["anchor", "whole"])
+    return found.where(f"kind = {REPEATS}").select("doc_id", "content", "at").union(across.select("doc_id", "content", "at"))
 
 
 def find_repeats(docs, width=WIDTH, gram=GRAM, part_runs=PART_RUNS):
@@ -242,7 +256,7 @@ def find_repeats(docs, width=WIDTH, gram=GRAM, part_runs=PART_RUNS):
         "content", F.expr(f"cast(pmod(content, ceil(kinds / {part_runs})) as int)").alias("part"), F.expr(f"kinds > {part_runs}").alias("split"),
         F.expr("n > 1").alias("known")).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("open"))
     data = stored(open_runs(joined(docs, opened, "inner"), width, gram), "open-runs")
-    single = shared_inside(data, width).union(shared_across(data, width)).groupBy("doc_id", "content").agg(F.collect_set("at").alias("places"))
+    single = shared_windows(data, width).groupBy("doc_id", "content").agg(F.collect_set("at").alias("places"))
     return whole, single
 
 
