@@ -89,12 +89,12 @@ def with_next(docs, keep=ANCHORS):
         F.max("doc_id").alias("top"))
     follow = previous_value(ids, "bucket", "top", 64 - BUCKET).crossJoin(F.broadcast(ids.agg(F.max("top").alias("largest"))))
     follow = follow.select("bucket", F.shiftright(F.coalesce("previous", "largest"), BUCKET).alias("next_bucket"))
-    tops = own.where("doc_id is not null").groupBy("bucket").agg(F.max(F.struct("doc_id", "text", "print")).alias("far")).withColumnRenamed("bucket", "next_bucket")
-    far = follow.join(tops, "next_bucket").select("bucket", "far")
-    inside = ordered.where("near is not null").select("doc_id", "text", "print", F.col("near").alias("next"))
-    edge = ordered.where("near is null").join(far, "bucket").select("doc_id", "text", "print", F.col("far").alias("next"))
-    without = own.where("doc_id is null").select("doc_id", "text", "print", F.lit(None).cast(inside.schema["next"].dataType).alias("next"))
-    return inside.unionByName(edge).unionByName(without)
+    tops = docs.where("doc_id is not null").groupBy(F.shiftright(F.col("doc_id"), BUCKET).alias("next_bucket")).agg(
+        F.max(F.struct("doc_id", text_or_empty().alias("text"))).alias("top"))
+    far = follow.join(tops, "next_bucket").select("bucket", F.struct("top.doc_id", "top.text", F.expr(anchors("top.text", keep)).alias("print")).alias("far"))
+    named = ordered.join(far, "bucket").select("doc_id", "text", "print", F.coalesce("near", "far").alias("next"))
+    without = own.where("doc_id is null").select("doc_id", "text", "print", F.lit(None).cast(named.schema["next"].dataType).alias("next"))
+    return named.unionByName(without)
 
 
 def compare_edits(docs, keep=ANCHORS):
