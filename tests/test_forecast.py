@@ -137,3 +137,14 @@ def test_covariates_stop_five_days_before_the_origin(spark):
     lagged = {r["day"]: r for r in dm.lagged_covariates(frame).collect()}
     assert min(lagged) == FIRST + timedelta(days=11)
     assert lagged[FIRST + timedelta(days=20)]["temperature_lag"] == pytest.approx(sum(range(9, 16)) / 140)
+
+
+def test_a_missing_day_drops_rows_and_shifts_nothing(spark):
+    days = [(d, float(d)) for d in range(120) if d != 70]
+    rows = spark.createDataFrame([("s", d, v) for d, v in days], "series string, day_idx int, value double").selectExpr(
+        "series", "date_add(date'2026-01-01', day_idx) as day", "day_idx", "value")
+    out = fc.horizon_rows(fc.panel(rows).filter("day_idx >= 27")).collect()
+    assert out and all(r["lag1"] % 7 == (r["day_idx"] + r["horizon"]) % 7 for r in out)
+    assert all(r["lag1"] == r["day_idx"] + r["horizon"] - 7 * -(-r["horizon"] // 7) for r in out)
+    assert all(r["actual"] is None or r["actual"] == r["day_idx"] + r["horizon"] for r in out)
+    assert 70 not in {v for r in out for v in (r["lag1"], r["lag2"], r["lag3"], r["lag4"], r["actual"])}

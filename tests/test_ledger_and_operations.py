@@ -69,13 +69,13 @@ def test_health_keeps_thirty_runs_with_failures_and_unknowns(spark):
     assert empty["success_rate_pct"] is None and empty["p50_seconds"] is None
 
 
-def test_page_views_stop_at_the_daily_limit_in_order_of_arrival(spark):
+def test_page_views_count_every_row(spark):
     start = datetime(2026, 3, 1)
-    rows = [("it" if i % 2 else "forecast", start + timedelta(seconds=7 * i), i) for i in range(200)]
-    rows += [("evil", start, 1000), ("resolution", start + timedelta(days=2), 1001)]
-    counts = {r["day"]: r for r in op.page_counts(spark.createDataFrame(rows, "page string, at timestamp_ntz, id int"), cap=101).collect()}
-    assert (counts[date(2026, 3, 1)]["forecast"], counts[date(2026, 3, 1)]["it"]) == (51, 50)
-    frame = op.page_counts(spark.createDataFrame(rows, "page string, at timestamp_ntz, id int"), cap=101)
+    rows = [("it" if i % 2 else "forecast", start + timedelta(seconds=i % 80_000), i) for i in range(25_000)]
+    rows += [("evil", start, 30_000), ("resolution", start + timedelta(days=2), 30_001)]
+    frame = op.page_counts(spark.createDataFrame(rows, "page string, at timestamp_ntz, id int"))
+    counts = {r["day"]: r for r in frame.collect()}
+    assert (counts[date(2026, 3, 1)]["forecast"], counts[date(2026, 3, 1)]["it"]) == (12_500, 12_500)
     daily = op.usage_summary(frame, date(2026, 3, 5)).orderBy("day").collect()
-    assert [(r["day"].day, r["total"]) for r in daily] == [(1, 101), (2, 0), (3, 1), (4, 0)]
+    assert [(r["day"].day, r["total"]) for r in daily] == [(1, 25_000), (2, 0), (3, 1), (4, 0)]
     assert op.usage_totals(op.usage_summary(frame, date(2026, 3, 5), date(2026, 3, 2))).first()["total_views"] == 1

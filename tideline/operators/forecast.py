@@ -37,14 +37,18 @@ SCALED = set(CORE[1:7])
 
 
 def panel(series):
-    """``series``: ``(series, day, day_idx, value)`` dense. Adds ``past`` (28 values) and ``future`` (up to 14)."""
+    """``series``: ``(series, day, day_idx, value)``. Adds ``past`` (28 values) and ``future`` (14) by day: a missing day is a null, never a shift.
+
+    Means are over the days that are there.
+    """
     order = Window.partitionBy("series").orderBy("day_idx")
-    return series.select(
-        "series", "day", "day_idx",
-        F.collect_list("value").over(order.rowsBetween(-27, 0)).alias("past"),
-        F.collect_list("value").over(order.rowsBetween(1, HORIZON)).alias("future"),
-        F.avg("value").over(order.rowsBetween(-6, 0)).alias("mean7"),
-        F.avg("value").over(order.rowsBetween(-27, 0)).alias("mean28"))
+    entries = F.collect_list(F.struct("day_idx", "value"))
+    placed = lambda seen, low, high: F.expr(f"""if(size({seen}) = {high - low + 1}, {seen}.value,
+        transform(sequence({low}, {high}), i -> get(filter({seen}, e -> e.day_idx = day_idx + i), 0).value))""")
+    mean = lambda days: F.avg("value").over(order.rangeBetween(1 - days, 0))
+    rows = series.select("series", "day", "day_idx", entries.over(order.rangeBetween(-27, 0)).alias("seen"),
+                         entries.over(order.rangeBetween(1, HORIZON)).alias("ahead"), mean(7).alias("mean7"), mean(28).alias("mean28"))
+    return rows.select("series", "day", "day_idx", placed("seen", -27, 0).alias("past"), placed("ahead", 1, HORIZON).alias("future"), "mean7", "mean28")
 
 
 def seasonal_lag(k):
@@ -54,12 +58,13 @@ def seasonal_lag(k):
 
 
 def horizon_rows(origins, low=None, high=None):
-    """One row per (origin, horizon) with target day, four lags and the actual value where it exists."""
+    """One row per (origin, horizon) with target day, four lags and the actual value where it exists; none where one of its past values is missing."""
     low, high = (F.lit(1) if low is None else low), (F.lit(HORIZON) if high is None else high)
     rows = origins.select("*", F.explode(F.sequence(low, high)).alias("horizon"))
     return (rows.withColumn("target", F.date_add("day", F.col("horizon")))
             .withColumns({f"lag{k + 1}": seasonal_lag(k) for k in range(4)})
-            .withColumn("actual", F.get("future", F.col("horizon") - 1)).drop("past", "future"))
+            .withColumn("actual", F.get("future", F.col("horizon") - 1)).drop("past", "future")
+            .na.drop(subset=["lag1", "lag2", "lag3", "lag4"]))
 
 
 def with_features(rows):

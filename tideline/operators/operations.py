@@ -2,11 +2,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators.segments import first_per_key
-
 KEEP_RUNS = 30
 PAGES = ("it", "forecast", "resolution")
-DAILY_CAP = 10_000
 USAGE_DAYS = 28
 
 
@@ -31,15 +28,10 @@ def run_health(runs, current_id=None):
     return counts.crossJoin(durations).select("runs", "completed", rate.alias("success_rate_pct"), "p50_seconds", "p95_seconds")
 
 
-def page_counts(beacons, cap=DAILY_CAP):
-    """Accepted views per UTC day and page. A day stops counting at ``cap``, in order of arrival.
-
-    ``beacons``: ``(page, at, id)``. Minutes are the segments, so a busy day is not ordered in one task.
-    """
-    valid = (beacons.filter(F.col("page").isin(*PAGES))
-             .withColumn("day", F.to_date("at")).withColumn("minute", F.hour("at") * 60 + F.minute("at")))
-    kept = first_per_key(valid, ["day"], "minute", ["at", "id"], cap)
-    return (kept.groupBy("day").pivot("page", list(PAGES)).count().na.fill(0)
+def page_counts(beacons):
+    """Views per UTC day and page, all of them. ``beacons``: ``(page, at)``; filter ``at`` first where only some days are wanted."""
+    valid = beacons.filter(F.col("page").isin(*PAGES)).withColumn("day", F.to_date("at"))
+    return (valid.groupBy("day").pivot("page", list(PAGES)).count().na.fill(0)
             .withColumn("total", sum((F.col(page) for page in PAGES), F.lit(0))))
 
 

@@ -6,7 +6,7 @@ from tideline.operators import merge, normalize, reports
 from tideline.plans import incremental
 from tideline.plans.audit import CHECKED_SQL, RAW_SOURCE, checked_rows, raw_rows
 from tideline.plans.registry import query, rounded
-from tideline.session import materialize, read_table, scratch_path, spread
+from tideline.session import materialize, read_table, scratch_path
 from tideline.sources import audit_csv, deliveries, publish
 
 PREVIOUS = "1999-06-30 23:59:59"
@@ -16,7 +16,7 @@ CUTOFF = "2001-06-30 23:59:59"
 def version_rows(spark, sf_dir, incident=None, content=None):
     """``lineitem`` as revisioned deliveries; every column depends on its own row only."""
     names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    lines = spread(read_table(spark, sf_dir, "lineitem").select(*names))
+    lines = read_table(spark, sf_dir, "lineitem").select(*names)
     ship = F.to_date("l_shipdate")
     week = week_end(F.date_add(ship, (F.col("l_partkey") % 30).cast("int"))).cast("string")
     revision = (F.col("l_suppkey") % 5 + 1).cast("int")

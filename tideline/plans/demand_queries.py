@@ -332,8 +332,8 @@ def model_selection(spark, sf_dir):
     return rounded(study.selected(study.predictions(dense(spark, sf_dir), SELECTION)))
 
 
-GATE_SQL = DEMAND_SQL + """, folds AS (SELECT series, CAST(floor(day_idx / 243.0) AS INTEGER) AS fold, avg(abs(value - 40)) AS c, avg(abs(value - 39)) AS r
-  FROM demand WHERE day_idx < 729 GROUP BY 1, 2)"""
+GATE_SQL = DEMAND_SQL + """, folds AS (SELECT series, CAST(floor(day_idx * 3.0 / 730) AS INTEGER) AS fold, avg(abs(value - 40)) AS c, avg(abs(value - 39)) AS r
+  FROM demand GROUP BY 1, 2)"""
 
 
 @query("q_selection_gate", "WITH " + GATE_SQL + """
@@ -342,7 +342,7 @@ SELECT series, sum(r) > 0 AND sum(c) <= 0.98 * sum(r) AND count(*) FILTER (WHERE
 FROM folds GROUP BY series""")
 def selection_gate(spark, sf_dir):
     """The gate alone, on two constant predictors over three thirds of the history."""
-    thirds = dense(spark, sf_dir).filter("day_idx < 729").withColumn("fold", F.floor(F.col("day_idx") / 243).cast("int"))
+    thirds = dense(spark, sf_dir).withColumn("fold", F.floor(F.col("day_idx") * 3 / N).cast("int"))
     error = lambda value: F.avg(F.abs(F.col("value") - value))
     folds = thirds.groupBy("series", "fold").agg(error(40).alias("c"), error(39).alias("r"))
     wide = folds.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("fold", "c", "r"))).alias("f"))

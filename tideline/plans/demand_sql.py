@@ -10,8 +10,8 @@ demand AS (SELECT series, day, CAST(date_diff('day', first_day, day) AS INTEGER)
   FROM (SELECT * FROM counted UNION ALL SELECT 'TOTAL', day, CAST(sum(value) AS BIGINT) FROM counted GROUP BY day), bounds)"""
 
 OBS_SQL = DEMAND_SQL + """, panel_rows AS (
-  SELECT *, avg(value) OVER (PARTITION BY series ORDER BY day_idx ROWS 6 PRECEDING) AS mean7,
-    avg(value) OVER (PARTITION BY series ORDER BY day_idx ROWS 27 PRECEDING) AS mean28 FROM demand),
+  SELECT *, avg(value) OVER (PARTITION BY series ORDER BY day_idx RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean7,
+    avg(value) OVER (PARTITION BY series ORDER BY day_idx RANGE BETWEEN 27 PRECEDING AND CURRENT ROW) AS mean28 FROM demand),
 obs AS (
   SELECT o.series, o.day_idx, o.day, CAST(h.horizon AS INTEGER) AS horizon, o.day + CAST(h.horizon AS INTEGER) AS target, o.mean7, o.mean28,
     CAST(a.value AS DOUBLE) AS lag1, CAST(b.value AS DOUBLE) AS lag2, CAST(c.value AS DOUBLE) AS lag3, CAST(d.value AS DOUBLE) AS lag4,

@@ -202,24 +202,24 @@ def beacons(spark, sf_dir):
 
 
 PAGE_SQL = """beacons AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 'it' WHEN 'click' THEN 'forecast' WHEN 'purchase' THEN 'resolution' END AS page FROM events),
-accepted AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS r FROM beacons WHERE page IS NOT NULL),
+accepted AS (SELECT * FROM beacons WHERE page IS NOT NULL),
 counts AS (SELECT day, count(*) FILTER (WHERE page = 'it') AS it, count(*) FILTER (WHERE page = 'forecast') AS forecast,
-  count(*) FILTER (WHERE page = 'resolution') AS resolution, count(*) AS total FROM accepted WHERE r <= {cap} GROUP BY day)"""
+  count(*) FILTER (WHERE page = 'resolution') AS resolution, count(*) AS total FROM accepted GROUP BY day)"""
 
 
-@query("q_page_views", "WITH " + PAGE_SQL.format(cap=10000) + """ SELECT d.day, coalesce(it, 0) AS it, coalesce(forecast, 0) AS forecast, coalesce(resolution, 0) AS resolution, coalesce(total, 0) AS total
+@query("q_page_views", "WITH " + PAGE_SQL + """ SELECT d.day, coalesce(it, 0) AS it, coalesce(forecast, 0) AS forecast, coalesce(resolution, 0) AS resolution, coalesce(total, 0) AS total
 FROM (SELECT CAST(unnest(generate_series(max(day) - 27, max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM counts) d LEFT JOIN counts c ON c.day = d.day
 WHERE d.day >= (SELECT min(day) FROM counts)""")
 def page_views(spark, sf_dir):
-    """The closed 28 days before the day after the log ends, in arrival order up to the daily limit of the counter."""
+    """The closed 28 days before the day after the log ends; earlier beacons are left out before they are counted."""
     rows = beacons(spark, sf_dir)
     today = rows.agg(F.to_date(F.max("at"))).first()[0] + timedelta(days=1)
-    return op.usage_summary(op.page_counts(rows), today)
+    return op.usage_summary(op.page_counts(rows.filter(F.col("at") >= F.lit(today - timedelta(days=op.USAGE_DAYS)))), today)
 
 
-@query("q_page_totals", "WITH " + PAGE_SQL.format(cap=10000) + """ SELECT max(day) - 27 AS start, max(day) AS through, CAST(sum(total) AS BIGINT) AS total_views, CAST(sum(it) AS BIGINT) AS it,
+@query("q_page_totals", "WITH " + PAGE_SQL + """ SELECT max(day) - 27 AS start, max(day) AS through, CAST(sum(total) AS BIGINT) AS total_views, CAST(sum(it) AS BIGINT) AS it,
   CAST(sum(forecast) AS BIGINT) AS forecast, CAST(sum(resolution) AS BIGINT) AS resolution FROM counts WHERE day >= (SELECT max(day) - 27 FROM counts)""")
 def page_totals(spark, sf_dir):
     rows = beacons(spark, sf_dir)
     today = rows.agg(F.to_date(F.max("at"))).first()[0] + timedelta(days=1)
-    return op.usage_totals(op.usage_summary(op.page_counts(rows), today, start_date=today - timedelta(days=28)))
+    return op.usage_totals(op.usage_summary(op.page_counts(rows.filter(F.col("at") >= F.lit(today - timedelta(days=28)))), today, start_date=today - timedelta(days=28)))

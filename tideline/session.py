@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_local_scratch = {}
+_one_machine = {}
 
 
 def build_session(master=None, app="tideline", partitions=None, **conf):
@@ -30,14 +30,14 @@ def build_session(master=None, app="tideline", partitions=None, **conf):
 
 
 def scratch_root(spark):
-    """The shared folder named by ``spark.checkpoint.dir``; a private one where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. On a cluster that names none, this ends the job: a machine's own folder is not seen by others."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="tideline-")
-    return _local_scratch[app]
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _one_machine.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tideline-"))
 
 
 def scratch_path(spark, name):
@@ -59,14 +59,5 @@ def materialize(df, name, partition_by=None):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Rows of an input with fewer splits than cores dealt out evenly, where much work per row follows.
-
-    Inputs of normal size have more splits than that and are left alone, so this adds no shuffle to them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,12 +18,11 @@ def header_of(spark, path):
     return [name.strip('"').lstrip("\ufeff") for name in line[0].split(",")] if line else []
 
 
-def read_audit_csv(spark, paths, fingerprints=None, small_blocks=100_000):
+def read_audit_csv(spark, paths, fingerprints=None):
     """All columns as strings plus ``source_sha256`` and ``source_row`` (first data row is 2).
 
     The row ordinal is the distance from the first row of the same file block plus the rows of earlier blocks.
-    Blocks are summarised to one row each; the data itself is not shuffled while there are at most
-    ``small_blocks`` of them (checked from the file sizes), beyond that the block table is joined normally.
+    Blocks are summarised to one row each; the true size of that table decides how it is joined.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = header_of(spark, paths[0])
@@ -38,10 +37,6 @@ def read_audit_csv(spark, paths, fingerprints=None, small_blocks=100_000):
               .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
               .join(files.select(_plain_path(F.col("file")).alias("plain"), "source_sha256"),
                     F.col("plain") == _plain_path(F.col("file"))).drop("plain"))
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    count = files.agg(F.sum(F.ceil(F.col("length") / split) + 1)).first()[0] or 0
-    if count <= small_blocks:
-        blocks = F.broadcast(blocks)
     return (rows.join(blocks, ["file", "block"])
             .withColumn("source_row", (F.col("seq") - F.col("first") + F.col("before") + 2))
             .select("source_sha256", "source_row", *header))
@@ -50,9 +45,3 @@ def read_audit_csv(spark, paths, fingerprints=None, small_blocks=100_000):
 def _plain_path(column):
     """``file:/x`` and ``file:///x`` name the same file."""
     return F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
-
-
-def _bytes(text):
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    digits = "".join(ch for ch in text if ch.isdigit())
-    return int(digits) * units.get(text[len(digits):].strip().lower() or "b", 1)
