@@ -123,7 +123,7 @@ def brute_classes(texts):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("group", [400, 3])
+@pytest.mark.parametrize("group", [400, 4])
 def test_near_classes_equal_all_pairs(spark, group):
     draw = random.Random(4)
     texts, base = {}, [" ".join(f"w{draw.randint(0, 400)}" for _ in range(80)) for _ in range(6)]

@@ -53,17 +53,17 @@ def readable(column):
     return f"array_join(transform({column}, x -> lpad(lower(hex(x)), 16, '0')), '')"
 
 
-def _lower_neighbour(frame, key, value, last):
+def _lower_neighbour(frame, key, value, last, bits):
     """``frame`` (distinct keys) plus ``last``: the value of the next smaller key. Windows hold 65,536 rows at most, level by level."""
     group = f"{key}_up"
-    grouped = frame.withColumn(group, F.shiftright(F.col(key), 16))
+    grouped = frame.withColumn(group, F.shiftright(F.col(key), 16) if bits > 16 else F.lit(0))
     out = grouped.withColumn(last, F.lag(value).over(Window.partitionBy(group).orderBy(key)))
     return grouped, out, group
 
 
 def previous_value(frame, key, value, bits):
     """For each distinct ``key`` (of ``bits`` bits) the ``value`` of the next smaller key, null for the smallest."""
-    grouped, out, group = _lower_neighbour(frame, key, value, "last_")
+    grouped, out, group = _lower_neighbour(frame, key, value, "last_", bits)
     if bits <= 16:
         return out.select(key, F.col("last_").alias("previous"))
     upper = previous_value(grouped.groupBy(group).agg(F.max(value).alias(value)), group, value, bits - 16)

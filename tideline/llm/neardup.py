@@ -88,7 +88,8 @@ def signed(docs):
                 places = np.arange(BANDS) * ROWS
                 keys = np.stack([winnow.span_hashes(row, places, places + ROWS, _MIX) + np.arange(BANDS, dtype=np.uint64) for row in signs]).view(np.int64)
                 second = np.array([winnow.span_hashes(np.array([x], np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64), _MIX)[0] for x in whole], np.uint64)
-                second = second ^ np.bitwise_xor.reduceat(np.append(grams, np.uint64(0)), np.searchsorted(owner, np.arange(b - a)))
+                mixed = np.bitwise_xor.reduceat(np.append(grams, np.uint64(0)), np.searchsorted(owner, np.arange(b - a)))
+                second = np.where([bool(w) for w in words], second ^ mixed, np.uint64(0))
                 yield table(kinds, [ids.slice(a, b - a), whole.view(np.int64), second.view(np.int64), [row.tolist() if w else [] for row, w in zip(keys, words, strict=True)]])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, whole long, second long, keys array<long>")
@@ -184,8 +185,9 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     Texts of equal words are one class and are compared once. Other texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8
     or more; classes are the connected components of all links. Texts without words (null, blank) are equal to each other. Rows with the same doc_id and
     another text are compared as texts of their own and share their id's class. A null doc_id takes part in no comparison: its class is null.
-    Candidates come from the bands; groups of candidates of at most ``group`` texts are verified whole. Larger ones are dealt into parts
-    of that size in several orders, in each of which texts with a common band key lie together; what the parts link is joined again.
+    Candidates come from the bands; groups of candidates of at most ``group`` texts are verified whole. Larger ones are first dealt
+    into parts of that size in several orders, in each of which texts with a common band key lie together. Where the texts of a band key are not all
+    connected after that, those outside its main part are compared with all of its texts, in blocks.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -202,10 +204,16 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     placed = candidate.join(sizes, "root")
     own = one.join(placed, F.col("doc_id") == F.col("node")).select("doc_id", "keys", "root", "n")
     small = own.where(f"n <= {group}").select("doc_id", "keys", F.struct(F.col("root").alias("root"), F.lit(0).alias("turn"), F.lit(0).alias("piece")).alias("part"))
-    large = deal(stored(own.where(f"n > {group}"), "large"), group, orders)
-    members = small.unionByName(large).groupBy("doc_id", "keys").agg(F.collect_list("part").alias("parts"))
-    with_text = docs.join(members, "doc_id").select("doc_id", "text", "keys", F.explode("parts").alias("part"))
-    links = verified_links(with_text.select(F.concat_ws("-", "part.root", "part.turn", "part.piece").alias("part"), "doc_id", "text", "keys"), group)
+    many = stored(own.where(f"n > {group}"), "large")
+
+    def links_of(placed):
+        members = placed.groupBy("doc_id", "keys").agg(F.collect_set("part").alias("parts"))
+        with_text = docs.join(members, "doc_id").select("doc_id", "text", "keys", F.explode("parts").alias("part"))
+        return stored(verified_links(with_text.select(F.to_json("part").alias("part"), "doc_id", "text", "keys"), group), "verified")
+
+    links = links_of(small.unionByName(deal(many, group, orders)))
+    if many.limit(1).count():
+        links = links.union(links_of(open_buckets(many, components(links, "first"), group)))
     linked = components(links.union(equal.where("doc_id <> rep").distinct()), "class")
     classes = linked.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "class_id")
     out = docs.select("doc_id").join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -229,6 +237,22 @@ def deal(own, group, orders):
     return out
 
 
+def open_buckets(own, labels, group):
+    """Parts that bring together, for each band key whose texts are not all connected, every text outside its largest component with every text of it."""
+    half = max(1, group // 2)
+    texts = own.join(labels.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "label"), "doc_id", "left")
+    texts = texts.select("doc_id", "keys", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("key"))
+    load = texts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    load = load.select("key", F.col("main.label").alias("main"), F.expr(f"cast(ceil(m / {half}) as int)").alias("cuts"),
+                       F.expr(f"cast(ceil((m - main.n) / {half}) as int)").alias("outs"))
+    own_cut, own_out = "cast(pmod(xxhash64(doc_id), cuts) as int)", "cast(pmod(xxhash64(doc_id, 1), outs) as int)"
+    spots = f"""array_union(transform(sequence(0, outs - 1), o -> named_struct('root', key, 'turn', o, 'piece', {own_cut})),
+        if(label <> main, transform(sequence(0, cuts - 1), c -> named_struct('root', key, 'turn', {own_out}, 'piece', c)),
+        cast(array() as array<struct<root:bigint,turn:int,piece:int>>)))"""
+    return texts.join(load, "key").select("doc_id", "keys", F.explode(F.expr(spots)).alias("part"))
+
+
 def deduplicate(docs, **options):
     """The rows of ``docs`` that stand for their class: of each class the smallest doc_id, all columns kept. Rows without doc_id stay.
 

@@ -9,7 +9,7 @@ from .common import bound_batches, read_table
 from .registry import query
 
 #: Documents that fitting may use, at most: so many labelled rows and so many rows without labels, by the smallest seeded hashes of their ids.
-LABELLED, UNLABELLED = 4_000, 4_000
+LABELLED, UNLABELLED = 4_000, 2_000
 #: Hashed words of the content view, and of the metadata view.
 CONTENT_DIM, META_DIM = 1 << 15, 1 << 10
 #: Rounds of exchange, and pseudo-labels that a view hands over in each: so many a class, if it is at least so sure.
@@ -17,7 +17,7 @@ ROUNDS, HANDED, SURE = 3, 200, 0.95
 #: Share of the labelled sample that is held out for calibration.
 HELD_OUT = 0.2
 #: Probability of quality up to which a document is rejected, and probability of toxicity from which it is.
-REJECT_QUALITY, REJECT_TOXIC = 0.3, 0.8
+REJECT_QUALITY, REJECT_TOXIC = 0.3, 0.6
 
 _KINDS = np.zeros(256, np.int64)
 _KINDS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = 1
@@ -103,28 +103,36 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def calibrate(scores, labels):
-    """Slope and offset that turn the scores of held-out rows into probabilities, by Newton's method with a weak pull to (1, 0)."""
-    x, target = np.stack([scores, np.ones(len(scores))], 1), np.array([1.0, 0.0])
+def newton(x, labels, target, pull):
+    """Weights of a small logistic regression that are pulled to ``target``, by Newton's method with steps that never raise the loss."""
+    loss = lambda w: np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ w)).sum() + pull / 2 * ((w - target) ** 2).sum()
     by = target.copy()
-    for _ in range(25):
+    for _ in range(30):
         p = sigmoid(x @ by)
-        slope = x.T @ (p - labels) + 0.1 * (by - target)
-        by = by - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), slope)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(target)), x.T @ (p - labels) + pull * (by - target))
+        size = 1.0
+        while size > 1e-6 and loss(by - size * step) > loss(by):
+            size /= 2
+        by = by - size * step if size > 1e-6 else by
     return by
 
 
+def calibrate(scores, labels):
+    """Slope and offset that turn the scores of held-out rows into probabilities."""
+    return newton(np.stack([scores, np.ones(len(scores))], 1), labels, np.array([1.0, 0.0]), 0.5)
+
+
 def cotrain(content, meta, labels, rounds=ROUNDS, handed=HANDED, sure=SURE):
     """Two calibrated views ``(weights, slope, offset)`` and the two weights of their combination.
 
     ``labels`` is 0, 1 or nan for each row. Each round, both views are fitted on what they have; of the rows without a label, each hands its
-    surest ones, as many of either class, to the other. Calibration and combination use labelled rows that no view was fitted on.
+    surest ones, ``handed`` a class at most (and a tenth of the labelled rows), to the other. Calibration and combination use labelled rows that no view was fitted on.
     """
     known = np.flatnonzero(~np.isnan(labels))
     hold = known[np.arange(len(known)) % max(2, round(1 / HELD_OUT)) == 0]
     train = np.setdiff1d(known, hold)
     pool = np.flatnonzero(np.isnan(labels))
-    views, teach = (content, meta), [dict(), dict()]
+    views, teach, handed = (content, meta), [dict(), dict()], max(1, min(handed, len(train) // 10))
     models = [None, None]
     for turn in range(rounds + 1):
         for v, rows in enumerate(views):
@@ -142,11 +150,7 @@ def cotrain(content, meta, labels, rounds=ROUNDS, handed=HANDED, sure=SURE):
                 teach[1 - v].update({int(pool[i]): label for i in sure_ones})
     steps = [calibrate(rows.take(hold).times(models[v]), labels[hold]) for v, rows in enumerate(views)]
     logits = np.stack([np.clip(steps[v][0] * rows.take(hold).times(models[v]) + steps[v][1], -15, 15) for v, rows in enumerate(views)] + [np.ones(len(hold))], 1)
-    blend = np.array([1.0, 0.0, 0.0])
-    for _ in range(25):
-        p = sigmoid(logits @ blend)
-        slope = logits.T @ (p - labels[hold]) + 0.5 * (blend - [1.0, 0.0, 0.0])
-        blend = blend - np.linalg.solve((logits * (p * (1 - p))[:, None]).T @ logits + 0.5 * np.eye(3), slope)
+    blend = newton(logits, labels[hold], np.array([1.0, 0.0, 0.0]), 0.5)
     return {"weights": [m.astype(np.float32) for m in models], "steps": steps, "blend": blend}
 
 
@@ -177,15 +181,16 @@ def fit(docs, labels, targets=("quality", "toxic"), labelled=LABELLED, unlabelle
     def view(batches):
         for batch in batches:
             content, meta = content_rows(batch["text"]), metadata_rows(batch)
-            cut = lambda values, rows: np.split(values, rows.starts[1:-1]) if len(rows) else []
-            yield batch[["doc_id", *names]].assign(columns=cut(content.columns, content), values=cut(content.values, content), meta=cut(meta.columns, meta))
+            cut = lambda values, rows, kind: np.split(values.astype(kind), rows.starts[1:-1]) if len(rows) else []
+            yield batch[["doc_id", *names]].assign(columns=cut(content.columns, content, np.int32), values=cut(content.values, content, np.float32),
+                                                   meta=cut(meta.columns, meta, np.int32))
 
     marked = ", ".join(f"{name} {dict(wanted.dtypes)[name]}" for name in names)
-    frame = rows.mapInPandas(view, f"doc_id {dict(docs.dtypes)['doc_id']}, {marked}, columns array<long>, values array<double>, meta array<long>").toPandas()
+    frame = rows.mapInPandas(view, f"doc_id {dict(docs.dtypes)['doc_id']}, {marked}, columns array<int>, values array<float>, meta array<int>").toPandas()
     if not len(frame):
         return dict.fromkeys(names)
     frame = frame.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    content, meta = gathered(frame["columns"], frame["values"], CONTENT_DIM), gathered(frame["meta"], None, META_DIM)
+    content, meta = gathered(frame.pop("columns"), frame.pop("values"), CONTENT_DIM), gathered(frame.pop("meta"), None, META_DIM)
     models = {}
     for name in names:
         y = frame[name].to_numpy(float, na_value=np.nan)
