@@ -16,7 +16,7 @@ BANDS, ROWS = 24, 4
 #: Texts that one verification group holds; larger groups are dealt out in several orders.
 GROUP = 400
 #: Orders in which a larger group is dealt out, each by the keys of other bands.
-ORDERS = 6
+ORDERS = 3
 
 _MIX = 0x8CB92BA72F3D8DD7
 
@@ -142,15 +142,25 @@ def join_group(texts, keys):
 
     seen = {}
     for i, own in enumerate(keys):
-        near = sorted({j for key in own for j in seen.get(key, ())}, reverse=True)
-        for j in near:
-            if root(i) != root(j):
-                compared += 1
-                if sets.similar(i, j):
-                    top[root(i)] = root(j)
-                    links.append((i, j))
+        tried = set()
         for key in own:
-            seen.setdefault(key, []).append(i)
+            for r, others in list(seen.setdefault(key, {}).items()):
+                for j in reversed(others):
+                    if root(r) == root(i):
+                        break
+                    if j not in tried:
+                        tried.add(j)
+                        compared += 1
+                        if sets.similar(i, j):
+                            top[root(i)] = root(j)
+                            links.append((i, j))
+        for key in own:
+            held = seen[key]
+            mine = sorted((held.pop(r) for r in list(held) if root(r) == root(i)), key=len, reverse=True) or [[]]
+            for others in mine[1:]:
+                mine[0].extend(others)
+            mine[0].append(i)
+            held[root(i)] = mine[0]
     return links, compared
 
 
