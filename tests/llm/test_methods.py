@@ -123,6 +123,35 @@ def brute_classes(texts):
     return {i: root(i) for i in ids}
 
 
+@pytest.mark.parametrize("cells", (500, 1 << 22))
+def test_group_links_connect_what_all_pairs_connect(cells):
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 300, 60)] for _ in range(5)]
+    texts = [None, "", "a b", "a b"]
+    for _ in range(90):
+        words = list(base[rng.integers(5)])
+        for _ in range(rng.integers(5)):
+            words[rng.integers(60)] = f"x{rng.integers(99)}"
+        texts.append(" ".join(words))
+
+    def grams(text):
+        words = (text or "").split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def components(links):
+        label = list(range(len(texts)))
+        for a, b in links:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in set(label)}
+
+    sets = [grams(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = neardup.join_group(texts, cells)
+    assert components(links) == components(pairs) and set(map(frozenset, links)) <= set(map(frozenset, pairs))
+    assert neardup.join_group([]) == []
+
+
 @pytest.mark.parametrize("group", [400, 4])
 def test_near_classes_equal_all_pairs(spark, group):
     draw = random.Random(4)

@@ -112,77 +112,61 @@ def components(links, name):
             return label
 
 
-class Sets:
-    """Shingle sets of the texts of one group, as sorted arrays."""
+def join_group(texts, cells=1 << 22):
+    """Links ``(i, j)`` that connect the texts of a group as all its pairs at ``SIMILAR`` or more would.
 
-    def __init__(self, texts):
-        owner, grams, _, _ = shingle_counts(word_lists(texts))
-        self.sets = np.split(grams, np.searchsorted(owner, np.arange(1, len(texts)))) if len(texts) else []
-
-    def similar(self, i, j):
-        a, b = self.sets[i], self.sets[j]
-        if not len(a) or not len(b) or min(len(a), len(b)) < SIMILAR * max(len(a), len(b)) - 1e-9:
-            return False
-        both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-        return both >= SIMILAR * (len(a) + len(b) - both) - 1e-9
-
-
-def join_group(texts, keys):
-    """Links ``(i, j)`` that connect a group as all its verified pairs would, and how many of its pairs were compared.
-
-    A pair is compared when it shares a band key and its texts are not connected yet.
+    Common shingles of all pairs are counted at once, as products of 0/1 matrices (texts by shingles) of at most ``cells`` cells. Shingles of one text only
+    are left out of these; they count in its size alone.
     """
-    sets, top, links, compared = Sets(texts), list(range(len(texts))), [], 0
-
-    def root(i):
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    seen = {}
-    for i, own in enumerate(keys):
-        tried = set()
-        for key in own:
-            for r, others in list(seen.setdefault(key, {}).items()):
-                for j in reversed(others):
-                    if root(r) == root(i):
-                        break
-                    if j not in tried:
-                        tried.add(j)
-                        compared += 1
-                        if sets.similar(i, j):
-                            top[root(i)] = root(j)
-                            links.append((i, j))
-        for key in own:
-            held = seen[key]
-            mine = sorted((held.pop(r) for r in list(held) if root(r) == root(i)), key=len, reverse=True) or [[]]
-            for others in mine[1:]:
-                mine[0].extend(others)
-            mine[0].append(i)
-            held[root(i)] = mine[0]
-    return links, compared
-
-
-def verified_links(members, group=GROUP):
-    """Links between texts of ``members`` (``part, doc_id, text, keys``), part by part; parts hold ``group`` texts or few more."""
+    n = len(texts)
+    owner, grams, _, _ = shingle_counts(word_lists(texts))
+    sizes = np.bincount(owner, minlength=n).astype(float)
+    values, code, times = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, code = owner[shared[code]], place[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both, width = np.zeros((n, n)), max(1, cells // max(1, n))
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(code, [low, low + width])
+        holds = np.zeros((n, min(width, int(shared.sum()) - low)), np.float32)
+        holds[owner[a:b], code[a:b] - low] = 1
+        both += holds @ holds.T
+    near = (both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both) - 1e-9) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
+    links, open_ = [], np.ones(n, bool)
+    for start in range(n):
+        ahead = [start] if open_[start] else []
+        open_[start] = False
+        while ahead:
+            i = ahead.pop()
+            found = np.flatnonzero(near[i] & open_).tolist()
+            open_[found] = False
+            links.extend((j, i) for j in found)
+            ahead.extend(found)
+    return links
+
+
+def verified_links(members):
+    """Links between texts of ``members`` (``part, doc_id, text``), part by part. A repeated row counts once."""
     kinds = [("a", pa.int64()), ("b", pa.int64())]
 
     def scan(batches):
         held, part = [], None
 
         def judge():
-            links, _ = join_group([x[1] for x in held], [x[2] for x in held])
+            links = join_group([text for _, text in held])
             if links:
                 return table(kinds, [[held[i][0] for i, _ in links], [held[j][0] for _, j in links]])
 
         for batch in batches:
-            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "keys")), strict=True):
+            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
                 if now != part:
                     if held and (found := judge()) is not None:
                         yield found
                     held, part = [], now
-                held.append(row)
+                if not held or held[-1] != row:
+                    held.append(row)
         if held and (found := judge()) is not None:
             yield found
 
@@ -195,7 +179,7 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     Texts of equal words are one class and are compared once. Other texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8
     or more; classes are the connected components of all links. Texts without words (null, blank) are equal to each other. Rows with the same doc_id and
     another text are compared as texts of their own and share their id's class. A null doc_id takes part in no comparison: its class is null.
-    Candidates come from the bands; groups of candidates of at most ``group`` texts are verified whole. Larger ones are first dealt
+    Candidates come from the bands; in groups of candidates of at most ``group`` texts all pairs are verified. Larger ones are first dealt
     into parts of that size in several orders, in each of which texts with a common band key lie together. Where the texts of a band key are not all
     connected after that, those outside its main part are compared with all of its texts, in blocks.
     """
@@ -213,13 +197,13 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     sizes = candidate.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     placed = candidate.join(sizes, "root")
     own = one.join(placed, F.col("doc_id") == F.col("node")).select("doc_id", "keys", "root", "n")
-    small = own.where(f"n <= {group}").select("doc_id", "keys", F.struct(F.col("root").alias("root"), F.lit(0).alias("turn"), F.lit(0).alias("piece")).alias("part"))
+    small = own.where(f"n <= {group}").select("doc_id", F.struct(F.col("root").alias("root"), F.lit(0).alias("turn"), F.lit(0).alias("piece")).alias("part"))
     many = stored(own.where(f"n > {group}"), "large")
 
     def links_of(placed):
-        members = placed.groupBy("doc_id", "keys").agg(F.collect_set("part").alias("parts"))
-        with_text = docs.join(members, "doc_id").select("doc_id", "text", "keys", F.explode("parts").alias("part"))
-        return stored(verified_links(with_text.select(F.to_json("part").alias("part"), "doc_id", "text", "keys"), group), "verified")
+        members = placed.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
+        with_text = docs.join(members, "doc_id").select("doc_id", "text", F.explode("parts").alias("part"))
+        return stored(verified_links(with_text.select(F.to_json("part").alias("part"), "doc_id", "text")), "verified")
 
     links = links_of(small.unionByName(deal(many, group, orders)))
     if many.limit(1).count():
@@ -241,7 +225,7 @@ def deal(own, group, orders):
         keyed = own.withColumn("key", F.expr(f"keys[{turn * BANDS // orders}]"))
         load = keyed.groupBy("root", "key").agg(F.count(F.lit(1)).alias("m")).join(keyed.groupBy("root").agg(F.count(F.lit(1)).alias("all")), "root")
         load = load.select("root", "key", F.expr(f"cast(ceil(m / {group}) as int)").alias("cuts"), F.expr(f"cast(ceil(all / {group}) as int)").alias("pieces"), "m")
-        dealt = keyed.join(load, ["root", "key"]).select("doc_id", "keys", F.struct(F.col("root"), F.lit(turn).alias("turn"), F.expr(
+        dealt = keyed.join(load, ["root", "key"]).select("doc_id", F.struct(F.col("root"), F.lit(turn).alias("turn"), F.expr(
             f"cast(if(m > {group // 2}, pmod(xxhash64(key, pmod(xxhash64(doc_id, {turn}), cuts)), 2147483647), pmod(key, pieces)) as int)").alias("piece")).alias("part"))
         out = dealt if out is None else out.unionByName(dealt)
     return out
@@ -251,7 +235,7 @@ def open_buckets(own, labels, group):
     """Parts that bring together, for each band key whose texts are not all connected, every text outside its largest component with every text of it."""
     half = max(1, group // 2)
     texts = own.join(labels.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "label"), "doc_id", "left")
-    texts = texts.select("doc_id", "keys", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("key"))
+    texts = texts.select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.explode("keys").alias("key"))
     load = texts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     load = load.select("key", F.col("main.label").alias("main"), F.expr(f"cast(ceil(m / {half}) as int)").alias("cuts"),
@@ -260,7 +244,7 @@ def open_buckets(own, labels, group):
     spots = f"""array_union(transform(sequence(0, outs - 1), o -> named_struct('root', key, 'turn', o, 'piece', {own_cut})),
         if(label <> main, transform(sequence(0, cuts - 1), c -> named_struct('root', key, 'turn', {own_out}, 'piece', c)),
         cast(array() as array<struct<root:bigint,turn:int,piece:int>>)))"""
-    return texts.join(load, "key").select("doc_id", "keys", F.explode(F.expr(spots)).alias("part"))
+    return texts.join(load, "key").select("doc_id", F.explode(F.expr(spots)).alias("part"))
 
 
 def deduplicate(docs, **options):
