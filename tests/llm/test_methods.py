@@ -123,6 +123,16 @@ def brute_classes(texts):
     return {i: root(i) for i in ids}
 
 
+def test_components_of_stars_chains_and_no_links(spark):
+    rng = random.Random(2)
+    chain = rng.sample(range(100, 160), 60)
+    pairs = [(99, x) for x in range(1, 40)] + list(zip(chain, chain[1:])) + [(200, 200), (301, 300), (300, 301), (400, 402), (402, 401), (401, 400)]
+    found = {r.node: r.root for r in neardup.components(spark.createDataFrame(pairs, "a long, b long"), "test").collect()}
+    want = {x: 1 for x in [99, *range(1, 40)]} | {x: min(chain) for x in chain} | {300: 300, 301: 300, 400: 400, 401: 400, 402: 400}
+    assert found == want
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 @pytest.mark.parametrize("cells", (500, 1 << 22))
 def test_group_links_connect_what_all_pairs_connect(cells):
     rng = np.random.default_rng(5)

@@ -96,20 +96,30 @@ def signed(docs):
 
 
 def components(links, name):
-    """Connected components of ``links`` (a, b): ``node, root``, root being the smallest node. Distributed: each round stores its table.
+    """Connected components of ``links`` (a, b): ``node, root``, root being the smallest node. Distributed: each round stores its tables.
 
-    Every node takes the smallest label among itself and its neighbours, then the label of its label, until nothing changes.
+    In a round every node moves to its smallest neighbour, if that is smaller, and from there to that one's. Links between the places moved to, without
+    loops and repeats, make the graph of the next round, which lacks at least the largest node of every component. The smallest never moves. At the end the moves are put
+    together from the last round back.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
-    label = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{name}-labels")
+    def tidy(df):
+        return stored(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-links")
+
+    edges, levels = tidy(links), []
     while True:
-        spread = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        after = label.join(spread, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = label.select(F.col("node").alias("next"), F.col("root").alias("top"))
-        after = stored(after.join(jump, "next", "left").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("top", "next")).alias("root")), f"{name}-labels")
-        label = after.select("node", "root")
-        if after.where("old <> root").limit(1).count() == 0:
-            return label
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        again = near.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        level = stored(near.join(again, "up").select("node", "root"), f"{name}-labels")
+        levels.append(level)
+        moved = edges.join(level.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(level.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        edges = tidy(moved.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        if edges.limit(1).count() == 0:
+            break
+    label = levels.pop()
+    while levels:
+        last = label.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        label = stored(levels.pop().join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-labels")
+    return label
 
 
 def join_group(texts, cells=1 << 22):
