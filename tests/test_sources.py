@@ -29,8 +29,9 @@ def test_csv_ordinals_survive_many_splits_and_a_byte_order_mark(spark, tmp_path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
-        read = audit_csv.read_audit_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
-        assert read.rdd.getNumPartitions() > 5
+        paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+        read = audit_csv.read_audit_csv(spark, paths)
+        assert spark.read.csv(paths).rdd.getNumPartitions() > 5
         rows = read.select("source_sha256", "source_row", "number").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -39,6 +40,24 @@ def test_csv_ordinals_survive_many_splits_and_a_byte_order_mark(spark, tmp_path)
     assert {r["source_sha256"] for r in rows} == {hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("a.csv", "b.csv")}
 
 
+def test_csv_files_keep_their_own_headers_quotes_and_line_breaks(spark, tmp_path):
+    def line(values):
+        return ",".join('"' + v.replace('"', '""') + '"' for v in values)
+
+    names = (*NAMES, "note")
+    plain = [{**record(i), "category": 'Say "no", twice', "note": ""} for i in (2, 3)]
+    broken = [{**record(i), "note": f'first, "{i}"\nthen more'} for i in (2, 3, 4)]
+    for name, order, rows in (("a.csv", NAMES, plain), ("b.csv", names[::-1], broken)):
+        (tmp_path / name).write_text("\n".join([line(order), *[line([r[n] for n in order]) for r in rows]]) + "\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("")
+    read = {(r["note"] is not None, r["source_row"]): r for r in audit_csv.read_audit_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert sorted(read) == [(False, 2), (False, 3), (True, 2), (True, 3), (True, 4)]
+    for (noted, row), found in read.items():
+        assert found["number"] == f"INC{row}" and found["sys_updated_at"] == "1/3/2016 10:00"
+        assert found["category"] == ("C" if noted else 'Say "no", twice')
+        assert found["note"] == (f'first, "{row}"\nthen more' if noted else None)
+
+
 def test_csv_without_required_columns_is_refused(spark, tmp_path):
     (tmp_path / "x.csv").write_text("other\n1\n")
     with pytest.raises(ValueError, match="missing columns"):
