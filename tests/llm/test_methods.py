@@ -175,6 +175,17 @@ def test_near_classes_equal_all_pairs(spark, group):
     assert {r.doc_id: r.class_id for r in done.collect()} == brute_classes(texts)
 
 
+def test_texts_that_differ_in_repetition_only_are_near(spark):
+    draw, texts = random.Random(9), {}
+    for i in range(20):
+        words, line = [f"w{draw.randint(0, 10 ** 6)}" for _ in range(200)], [f"l{draw.randint(0, 10 ** 6)}" for _ in range(20)]
+        texts |= {4 * i: " ".join(words + line), 4 * i + 1: " ".join(words + line * 50)}
+        texts |= {4 * i + 2: " ".join(words[::-1] + ["again"] * 6), 4 * i + 3: " ".join(words[::-1] + ["again"] * 1000)}
+    done = neardup.near_classes(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    want = brute_classes(texts)
+    assert {r.doc_id: r.class_id for r in done.collect()} == want and len(set(want.values())) == 40
+
+
 def test_probability_jaccard_is_estimated():
     owner = np.array([0] * 30 + [1] * 30)
     element = winnow._mix(np.concatenate([np.arange(30), np.arange(10, 40)]).astype(np.uint64))

@@ -1,4 +1,4 @@
-"""MinHash near-dedup: ProbMinHash signatures of weighted word shingles, bands, exact verification, classes."""
+"""MinHash near-dedup: ProbMinHash signatures of sets of word shingles, bands, exact verification, classes."""
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -75,7 +75,10 @@ def probminhash(owner, element, weight, n, registers=BANDS * ROWS):
 
 
 def signed(docs):
-    """``doc_id, whole, second, keys``: two hashes of the word sequence and the key of each band (none for a text without words)."""
+    """``doc_id, whole, second, keys``: two hashes of the word sequence and the key of each band (none for a text without words).
+
+    Every distinct shingle has weight 1, however often it stands in the text: registers agree with the Jaccard similarity of the sets, which is judged later.
+    """
     kinds = [("doc_id", pa.int64()), ("whole", pa.int64()), ("second", pa.int64()), ("keys", pa.list_(pa.int64()))]
 
     def scan(batches):
@@ -83,8 +86,8 @@ def signed(docs):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in winnow.chunks([len(t) if t else 0 for t in texts]):
                 words = word_lists(texts[a:b])
-                owner, grams, counts, whole = shingle_counts(words)
-                signs = probminhash(owner, grams, counts.astype(float), b - a)
+                owner, grams, _, whole = shingle_counts(words)
+                signs = probminhash(owner, grams, np.ones(len(owner)), b - a)
                 places = np.arange(BANDS) * ROWS
                 keys = np.stack([winnow.span_hashes(row, places, places + ROWS, _MIX) + np.arange(BANDS, dtype=np.uint64) for row in signs]).view(np.int64)
                 second = np.array([winnow.span_hashes(np.array([x], np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64), _MIX)[0] for x in whole], np.uint64)
