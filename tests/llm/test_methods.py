@@ -311,6 +311,33 @@ def test_licenses_are_told_apart(spark):
     assert out == ["Apache-2.0", "CC-BY-NC-4.0", "CC-BY-4.0", "MIT", "GPL-3.0", None, None]
 
 
+NOTICES = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\")",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+               "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM "])
+def test_wrapped_license_notices(spark, mark):
+    rows = [(i, "Some words before.\n" + "\n".join(mark + line for line in text.split("\n")) + "\nand after") for i, text in enumerate(NOTICES.values())]
+    narrow = "\n".join(mark + word for word in "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split())
+    rows += [(9, narrow)] if mark != "REM " else []
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.license for r in out] == [*NOTICES, "MIT"][:len(rows)] and all(len(r.findings) == 1 for r in out)
+
+
+def test_every_license_of_a_block_is_found(spark):
+    names = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+             "This work is licensed under the Creative Commons Attribution 4.0 International License.": "CC-BY-4.0"}
+    near, far = " ".join(names), "".join(f"{line} Some more words of prose here. " for line in names) * 200
+    out = licenses.scan(spark.createDataFrame([(1, near), (2, far)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [f.license for f in out[0].findings] == [*names.values()] and [near[f.start:f.stop] + "." for f in out[0].findings] == [*names]
+    assert [f.license for f in out[1].findings] == [*names.values()] * 200 and all(f.same == f.of for f in out[1].findings)
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     some = F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0

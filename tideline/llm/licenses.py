@@ -1,6 +1,9 @@
-"""License scans: blocks compressed with each template as a zstandard dictionary; winners are confirmed by their exact wording."""
+"""License scans: notices that stand around cues word by word, ranked by compression with each template as a zstandard dictionary."""
+import bisect
 import difflib
+import math
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import functions as F
@@ -25,14 +28,17 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
-#: A block is a line, or the part of it within so many characters of a cue: long lines are cut into overlapping blocks, none is left out.
-CUE = re.compile(r"licen[sc]e|permission is hereby|redistribution and use|free software", re.IGNORECASE)
+#: Words that announce a notice. Those of one cue may stand on two lines, with a comment mark in front of the second.
+CUE = re.compile(r"licen[sc]e|permission\W+(?:\w{1,3}\W+)?is\W+(?:\w{1,3}\W+)?hereby|redistribution\W+(?:\w{1,3}\W+)?and\W+(?:\w{1,3}\W+)?use|"
+                 r"free\W+(?:\w{1,3}\W+)?software", re.IGNORECASE)
+#: A block is what lies within so many characters of a cue, across line breaks.
 REACH = 400
-#: A template is confirmed when at least this share of its words stands in the block, in order.
+#: A template is confirmed when at least this share of its words stands in the block, in order, with few others between, or anyhow in a cue's own line.
 WORDING = 0.85
 LEVEL = 3
 
 _tokens = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_cased = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
 def tokens(text):
@@ -40,34 +46,74 @@ def tokens(text):
 
 
 def blocks(text):
-    """Candidate blocks ``(start, end)`` in code points: the surroundings of every cue inside its line, joined where they overlap."""
+    """Candidate blocks ``(start, end)`` in code points: the surroundings of every cue, joined where they overlap."""
     found = []
     for cue in CUE.finditer(text):
-        start = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - REACH)
-        end = text.find("\n", cue.end())
-        end = min(len(text) if end < 0 else end, cue.end() + REACH)
-        if found and start <= found[-1][1] and "\n" not in text[found[-1][1]:start]:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
+        start, end = max(0, cue.start() - REACH), min(len(text), cue.end() + REACH)
+        if found and start <= found[-1][1]:
+            found[-1] = (found[-1][0], end)
         else:
             found.append((start, end))
     return found
 
 
+def lines(text, block):
+    """``(start, end)`` of the part of its own line that lies within ``REACH`` of each cue of a block."""
+    found = []
+    for cue in CUE.finditer(text, *block):
+        end = text.find("\n", cue.end())
+        found.append((max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - REACH), min(len(text) if end < 0 else end, cue.end() + REACH)))
+    return found
+
+
+def windows(want, have):
+    """``(first, last, same)`` for the places in ``have`` that hold at least ``WORDING`` of the words ``want`` in order; they do not overlap.
+
+    A place has at most half as many other words (or four) as ``want`` has. For each word of ``want`` and number of words dropped before it, the
+    latest possible first word is carried along, so a block of any length is passed over once.
+    """
+    m = len(want)
+    drops, longest = m - math.ceil(WORDING * m), m + max(4, m // 2)
+    places, first, found = {}, [[-1] * (drops + 1) for _ in range(m)], []
+    for i, word in enumerate(want):
+        places.setdefault(word, []).insert(0, i)
+    for j, word in enumerate(have):
+        for i in places.get(word, ()):
+            if i <= drops:
+                first[i][i] = j
+            for skip in range(min(drops, i - 1) + 1 if i else 0):
+                for d in range(drops - skip + 1):
+                    first[i][d + skip] = max(first[i][d + skip], first[i - 1 - skip][d])
+            for d in range(drops - (m - 1 - i) + 1):
+                if first[i][d] >= 0 and j - first[i][d] < longest and Judge._names(want, have[first[i][d]:j + 1]):
+                    found.append((first[i][d], j, i + 1 - d))
+    kept, taken = [], set()
+    for window in sorted(found, key=lambda w: (-w[2], w[1] - w[0], w[0])):
+        if taken.isdisjoint(held := range(window[0], window[1] + 1)):
+            taken.update(held)
+            kept.append(window)
+    return kept
+
+
 class Judge:
     """The templates as raw dictionaries, and their words."""
 
     def __init__(self, templates=TEMPLATES):
         self.forms = [(name, i, form, tokens(form)) for name in sorted(templates) for i, form in enumerate(templates[name])]
+        self.words = [Counter(want) for *_, want in self.forms]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.with_form = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(
             form.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, form, _ in self.forms]
         self.seen = {}
 
+    def gain(self, block, i):
+        """Bytes by which template ``i`` as dictionary shortens the compressed block."""
+        data = block.lower().encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(data)) - len(self.with_form[i].compress(data))
+
     def ranked(self, block):
         """Templates by how much they shorten the compressed block, largest reduction first; ties in the order of names."""
-        data = block.lower().encode("utf-8", "surrogatepass")
-        plain = len(self.alone.compress(data))
-        return sorted(((plain - len(c.compress(data)), i) for i, c in enumerate(self.with_form)), key=lambda x: (-x[0], x[1]))
+        return sorted(((self.gain(block, i), i) for i in range(len(self.forms))), key=lambda x: (-x[0], x[1]))
 
     def best(self, block):
         """``(license, reduction, words kept, words of the template)`` of the first template in rank that the wording confirms, or None."""
@@ -79,6 +125,9 @@ class Judge:
 
     def _best(self, block):
         have = tokens(block)
+        held = Counter(have)
+        if not any((self.words[i] & held).total() >= WORDING * len(want) for i, (*_, want) in enumerate(self.forms)):
+            return None
         for gain, i in self.ranked(block):
             if gain <= 0:
                 break
@@ -88,6 +137,37 @@ class Judge:
                 return name, gain, same, len(want)
         return None
 
+    def findings(self, text, block):
+        """``(start, stop, license, reduction, same, of)`` of every notice in a block. Where templates overlap, the one with the largest reduction stays.
+
+        A line in which a cue stands is also judged as a whole; that counts when its license is not found in it otherwise.
+        """
+        start, end = block
+        spots = [(m.start() + start, m.end() + start, m[0].lower()) for m in _cased.finditer(text[start:end])]
+        have = [word for *_, word in spots]
+        held, found = Counter(have), []
+        for i, (name, _, _, want) in enumerate(self.forms):
+            if (self.words[i] & held).total() >= WORDING * len(want):
+                for first, last, same in windows(want, have):
+                    a, b = spots[first][0], spots[last][1]
+                    if (gain := self.gain(text[a:b], i)) > 0:
+                        found.append((a, b, name, gain, same, len(want), range(first, last + 1)))
+        kept, taken, ends = [], set(), {}
+        for *hit, words in sorted(found, key=lambda h: (-h[3], h[0])):
+            if taken.isdisjoint(words):
+                taken.update(words)
+                kept.append(tuple(hit))
+        for a, b, name, *_ in sorted(kept):
+            ends.setdefault(name, []).append((a, b))
+        for a, b in dict.fromkeys(lines(text, block)):
+            hit = self.best(text[a:b])
+            near = ends.setdefault(hit[0], []) if hit else []
+            place = bisect.bisect_left(near, (b,))
+            if hit and not (place and near[place - 1][1] > a):
+                near.insert(place, (a, b))
+                kept.append((a, b, *hit))
+        return sorted(kept)
+
     @staticmethod
     def _names(want, have):
         """Words with a digit or hyphen (versions, variants) tell licenses apart and must all stand in the block."""
@@ -112,7 +192,7 @@ def scan(docs, templates=None):
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 cut = blocks(text) if text else []
-                hits = [(a, b, *hit) for a, b in cut if (hit := judge.best(text[a:b]))]
+                hits = [hit for block in cut for hit in judge.findings(text, block)]
                 top = min(hits, key=lambda h: (-h[3], h[0]), default=None)
                 out.append((doc_id, len(cut), top and top[2], [dict(zip(("start", "stop", "license", "reduction", "same", "of"), h, strict=True)) for h in hits]))
             yield pd.DataFrame(out, columns=["doc_id", "n_blocks", "license", "findings"]).astype({"doc_id": "Int64"})
