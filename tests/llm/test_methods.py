@@ -296,6 +296,19 @@ def test_markov_models_tell_random_from_ordinary(spark, docs):
     assert np.mean([r.random == r.said for r in scored]) > 0.9
 
 
+def test_models_count_every_document(spark):
+    docs = spark.range(45_000).selectExpr("id as doc_id", "concat('alpha_', id, if(id = 44999, ' token=ZZZZqqqqZZZZqqqq', '')) as text")
+    values = secretscan.labelled_samples(docs, made=1).groupBy("random").count().collect()
+    assert {r["random"]: r["count"] for r in values} == {False: 45_000, True: 4}
+    ratios = secretscan.fit(docs, made=1)
+    counts = {said: np.ones((secretscan.STATES,) * 2) for said in (True, False)}
+    for r in secretscan.labelled_samples(docs, made=1).collect():
+        for x, y in zip(r.value, r.value[1:]):
+            counts[r.random][secretscan.ALPHABET.find(x) + 1, secretscan.ALPHABET.find(y) + 1] += 1
+    logs = {said: np.log(c / c.sum(1, keepdims=True)) for said, c in counts.items()}
+    assert np.allclose(ratios, (logs[True] - logs[False]).ravel())
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = [(1, "a password=abcdefabcdef12 b", 27), (2, "clean", 5), (3, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

@@ -17,8 +17,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 #: Strings that the models judge: runs of at least so many of these characters.
 CANDIDATE = r"()((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+)"
-#: Documents whose words train the model of ordinary identifiers (a sample by hash, of about this size), and made random strings of each form.
-SAMPLE_DOCS = 20_000
+#: Made random strings of each form.
 MADE_STRINGS = 20_000
 #: Mean log-likelihood ratio of a character from which a string counts as random.
 THRESHOLD = 0.5
@@ -50,16 +49,15 @@ def _plain(docs):
     return docs.withColumn("plain_", F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "")).otherwise(text))
 
 
-def labelled_samples(docs, sample_docs=SAMPLE_DOCS, made=MADE_STRINGS, seed=11):
-    """Training strings ``(value, random)``. Random: values of the fixed patterns in sampled documents, and strings made from digests.
+def labelled_samples(docs, made=MADE_STRINGS, seed=11):
+    """Training strings ``(value, random)`` of all documents. Random: values of the fixed patterns, and strings made from digests.
 
-    Ordinary: words and identifiers of at least 6 characters in the sampled documents that no fixed pattern matches.
+    Ordinary: words and identifiers of at least 6 characters that no fixed pattern matches.
     """
-    rate = max(1, math.ceil(docs.count() / sample_docs))
-    some = _with_spans(_plain(docs.select("doc_id", "text").where(F.expr(f"pmod(xxhash64(doc_id, {seed}), {rate}) = 0"))), PATTERNS)
-    values = some.select(F.explode(F.concat("assign_", "access_", "hex_")).alias("s")).select("s.value", F.lit(True).alias("random"))
+    every = _with_spans(_plain(docs.select("text")), PATTERNS)
+    values = every.select(F.explode(F.concat("assign_", "access_", "hex_")).alias("s")).select("s.value", F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("plain_", PATTERNS[0][1], " "), PATTERNS[1][1], " "), PATTERNS[2][1], " ")
-    words = some.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
+    words = every.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
     digests = docs.sparkSession.range(made).selectExpr(f"sha2(concat('sample', id, '-', {seed}), 256) as digest")
     forms = digests.selectExpr("explode(array(left(digest, 40), base64(unhex(digest)), translate(base64(unhex(digest)), 'abcdefghijklmnopqrstuvwxyz', "
                                "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'))) as value", "true as random")
@@ -69,11 +67,12 @@ def labelled_samples(docs, sample_docs=SAMPLE_DOCS, made=MADE_STRINGS, seed=11):
 def train(samples):
     """Log-likelihood ratio of each pair of characters, random over ordinary, as a flat list of STATES x STATES.
 
-    First-order Markov chains with one added count a pair. The pairs are counted in Spark; at most 2 x STATES² sums reach the driver.
+    First-order Markov chains with one added count a pair. Strings, then their pairs, are counted in Spark; at most 2 x STATES² sums reach the driver.
     """
-    place = f"instr('{ALPHABET}', substring(value, {{}}, 1))"
-    pairs = samples.where("length(value) >= 2").selectExpr("random", "value", "explode(sequence(2, length(value))) as i")
-    pairs = pairs.selectExpr("random", f"{place.format('i - 1')} as a", f"{place.format('i')} as b").groupBy("random", "a", "b").count()
+    place = f"cast(instr('{ALPHABET}', substring(pair, {{}}, 1)) as int)"
+    strings = samples.where("length(value) >= 2").groupBy("random", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = strings.select("random", "n", F.explode(F.regexp_extract_all("value", F.lit("(?s)(?=(..))"), F.lit(1))).alias("pair"))
+    pairs = pairs.selectExpr("random", "n", f"{place.format(1)} as a", f"{place.format(2)} as b").groupBy("random", "a", "b").agg(F.sum("n").alias("n"))
     counts = {random: [[1.0] * STATES for _ in range(STATES)] for random in (True, False)}
     for random, a, b, n in pairs.collect():
         counts[random][a][b] += n
