@@ -186,6 +186,13 @@ def test_texts_that_differ_in_repetition_only_are_near(spark):
     assert {r.doc_id: r.class_id for r in done.collect()} == want and len(set(want.values())) == 40
 
 
+def test_unlike_texts_with_one_id_stay(spark):
+    one, two, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, two, "x"), (1, one, "y"), (1, one, "y"), (2, other, "z"), (3, one + " end", "v"), (2, two, "w"), (None, one, "n")]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row_name string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([rows[0], rows[1], rows[3], rows[6]], key=repr)
+
+
 def test_probability_jaccard_is_estimated():
     owner = np.array([0] * 30 + [1] * 30)
     element = winnow._mix(np.concatenate([np.arange(30), np.arange(10, 40)]).astype(np.uint64))

@@ -2,7 +2,6 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import winnow
 from .common import bound_batches, read_table, stored
@@ -263,12 +262,15 @@ def open_buckets(own, labels, group):
 def deduplicate(docs, **options):
     """The rows of ``docs`` that stand for their class: of each class the smallest doc_id, all columns kept. Rows without doc_id stay.
 
-    Of several rows with that doc_id, the one with the smallest text stays.
+    Rows are numbered and compared as texts of their own, whatever their doc_id, so unlike texts with one doc_id all stay. Of several rows of a class with
+    its smallest doc_id, the one with the smallest text stays.
     """
-    classes = near_classes(docs, **options).where("class_id = doc_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    named = docs.where("doc_id is not null").join(classes, F.col("doc_id") == F.col("kept_id_"), "left_semi")
-    named = named.withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("rank_ = 1").drop("rank_")
-    return named.unionByName(docs.where("doc_id is null"))
+    rows = stored(docs.where("doc_id is not null").withColumn("row_", F.monotonically_increasing_id()), "rows")
+    classes = near_classes(rows.select(F.col("row_").alias("doc_id"), "text"), **options).where("class_size > 1").select(F.col("doc_id").alias("row_"), "class_id")
+    shared = stored(classes, "classes")
+    best = rows.select("row_", "doc_id", "text").join(shared, "row_").groupBy("class_id").agg(F.min(F.struct("doc_id", "text", "row_")).alias("best"))
+    gone = shared.join(best.select(F.col("best.row_").alias("row_")), "row_", "left_anti").select("row_")
+    return rows.join(gone, "row_", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 @query("op6_near_dedup")
