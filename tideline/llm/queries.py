@@ -1,5 +1,5 @@
 """Every query of this package, for the driver's entry."""
-from . import (bpe, decontamination, fingerprints, licenses, mixing, neardup, passages, periods, quality, registry, secretscan, suffixes,  # noqa: F401
+from . import (bpe, decontamination, fingerprints, licenses, mixing, neardup, passages, periods, quality, registry, repair, secretscan, suffixes,  # noqa: F401
                urlfilter)
 
 
