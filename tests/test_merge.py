@@ -63,15 +63,15 @@ def test_merge_equals_one_by_one_application(spark, seed, block):
     assert counts["duplicates"] == duplicates and counts["late_arrivals"] == len(late)
     assert counts["stale_revisions"] == sum(o == "stale" for o in outcomes.values())
     current = merge.merge_deliveries(None, frame(spark, old), block=block).current
-    refreshed = merge.refreshed_current(current, result.versions)
+    refreshed = merge.refreshed_current(current, result.new)
     assert {r["event_id"]: r["revision"] for r in refreshed.collect()} == latest
 
 
 def test_conflicting_payload_and_moved_incident_are_refused(spark):
     history = frame(spark, [delivery("e1", 1, 1, 1)])
-    with pytest.raises(ValueError, match="Conflicting payloads"):
+    with pytest.raises(ValueError, match="two payloads"):
         merge.require_consistent(history, frame(spark, [delivery("e1", 1, 2, 1, content="other")]))
-    with pytest.raises(ValueError, match="incident identity"):
+    with pytest.raises(ValueError, match="two incidents"):
         merge.require_consistent(history, frame(spark, [delivery("e1", 2, 2, 1, incident="INC2")]))
     merge.require_consistent(history, frame(spark, [delivery("e1", 1, 2, 1), delivery("e1", 2, 2, 2)]))
 

@@ -115,3 +115,44 @@ def test_cohort_does_not_look_past_the_observation_end(spark):
                                    "contact_type string, category string, source_row int, sys_mod_count int, event_id string")
     row = sv.cohort(sv.candidates(events, "2016-03-01", "2016-04-01", "2016-03-31 23:59:59")).first()
     assert (row["event"], row["duration"], row["priority"]) == (False, 24.0, "P1")
+
+
+def test_hazard_fit_has_no_limit_on_levels_and_needs_no_events(spark):
+    rows = cohort_rows(spark).withColumn("category", F.concat("category", (F.abs(F.hash("incident_id")) % 3).cast("string")))
+    many = spark.range(20_000).select(
+        F.concat(F.lit("I"), "id").alias("incident_id"), (1.0 + F.col("id") % 50).alias("duration"), ((1 + F.col("id") % 50) * HOUR).alias("duration_us"),
+        (F.col("id") % 3 > 0).alias("event"), F.lit("P").alias("priority"), F.lit("c").alias("contact_type"),
+        F.when(F.col("id") % 500 == 0, F.lit(None)).otherwise((F.col("id") % 10_000).cast("string")).alias("category"),
+        F.lit("1").alias("weekday"), (F.col("id") % 4).cast("string").alias("hour_band"), F.lit("0–1 h").alias("age_band"))
+    fit = sv.fit_hazard(many)
+    assert fit.count() > 9_900
+    worst = sv.fitted_events(many, fit).agg(F.max(F.abs(F.col("events") - F.col("fitted")))).first()[0]
+    assert worst < 0.01
+    none = sv.fit_hazard(rows.withColumn("event", F.lit(False))).collect()
+    assert {r["coefficient"] for r in none if r["feature"]} == {0.0} and [r["coefficient"] for r in none if not r["feature"]] == [-30.0]
+
+
+def test_all_splits_come_from_one_scan_and_one_exchange(spark):
+    start = datetime(2016, 3, 1)
+    source = random.Random(4)
+    rows = [(f"INC{0 if i % 3 == 0 else source.randrange(40)}", start, start + timedelta(hours=source.randrange(500)), source.choice(["New", "Active", "Resolved"]),
+             f"P{i % 4}", "Phone", "C", i, i % 5, f"e{i}") for i in range(900)]
+    events = spark.createDataFrame(rows, "incident_id string, opened_at timestamp_ntz, updated_at timestamp_ntz, state string, priority string, "
+                                   "contact_type string, category string, source_row int, sys_mod_count int, event_id string")
+    splits = {"a": ("2016-03-01", "2016-03-05", "2016-03-08"), "b": ("2016-03-05", "2016-03-12", "2016-03-22")}
+    found = sv.split_candidates(events, splits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning(incident_id") == 2
+    together = sorted(map(repr, found.collect()))
+    apart = [r for name, split in splits.items() for r in sv.candidates(events, *split).withColumn("split", F.lit(name)).select(found.columns).collect()]
+    assert together == sorted(map(repr, apart))
+    want = {}
+    for name, (a, b, observed) in splits.items():
+        by = {}
+        for r in sorted((r for r in rows if str(r[2]) <= f"{observed} 00:00:00"), key=lambda r: (r[2], r[8], r[7], r[9])):
+            by.setdefault(r[0], []).append(r)
+        for incident, mine in by.items():
+            if datetime.fromisoformat(a) <= mine[0][2] < datetime.fromisoformat(b):
+                closed = min((r[2] for r in mine if r[3] == "Resolved"), default=None)
+                want[name, incident] = (mine[0][2], closed is not None and closed - mine[0][2] <= timedelta(hours=168), mine[0][4])
+    assert {(r["split"], r["incident_id"]): (r["origin"], r["event"], r["priority"]) for r in found.collect()} == want

@@ -43,21 +43,25 @@ def segment_events(events, cutoff, hours=1):
 
 
 def segment_summary(events, cutoff, hours=1):
-    """One row per (incident, segment): edge states, counts of inner transitions, last relevant positions."""
+    """One row per (incident, segment): edge states, counts of inner transitions, last relevant positions.
+
+    Everything comes from one sort inside segments: measures are taken over the whole segment, and its last row stays with its payload.
+    """
     rows = segment_events(events, cutoff, hours)
     terminal, was_terminal = is_terminal(F.col("state")), is_terminal(F.col("before_state"))
     inner_entry = F.col("before_state").isNotNull() & terminal & ~was_terminal
     inner_reopen = F.col("before_state").isNotNull() & ~terminal & was_terminal
     resolved = F.col("state") == "Resolved"
-    summary = rows.groupBy("incident_id", "segment").agg(
-        F.count("*").alias("events"), F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at"),
-        F.min_by("state", "position").alias("first_state"),
-        F.max_by(F.struct(*ATTRIBUTES), "position").alias("last"),
-        F.count_if(inner_entry).alias("inner_entries"), F.count_if(inner_reopen).alias("inner_reopens"),
-        F.max(F.when(inner_entry, F.col("updated_at"))).alias("inner_entry_at"),
-        F.max(F.when(~terminal, F.col("position"))).alias("open_position"),
-        F.max(F.when(resolved, F.col("position"))).alias("resolved_position"),
-        F.max(F.when(resolved, F.col("updated_at"))).alias("resolved_at"))
+    ordered = Window.partitionBy("incident_id", "segment").orderBy(*ORDER)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    measures = {
+        "events": F.count("*"), "first_at": F.first("updated_at"), "last_at": F.last("updated_at"), "first_state": F.first("state"),
+        "inner_entries": F.count_if(inner_entry), "inner_reopens": F.count_if(inner_reopen), "inner_entry_at": F.max(F.when(inner_entry, F.col("updated_at"))),
+        "open_position": F.max(F.when(~terminal, F.col("position"))), "resolved_position": F.max(F.when(resolved, F.col("position"))),
+        "resolved_at": F.max(F.when(resolved, F.col("updated_at")))}
+    summary = (rows.withColumns({name: measure.over(whole) for name, measure in measures.items()}).filter("next_at IS NULL")
+               .select("incident_id", "segment", "events", "first_at", "last_at", "first_state", F.struct(*ATTRIBUTES).alias("last"),
+                       *[name for name in measures if name not in ("events", "first_at", "last_at", "first_state")]))
     across = Window.partitionBy("incident_id").orderBy("segment")
     opened_before = F.col("prior_state").isNotNull() & is_terminal(F.col("prior_state"))
     return (summary.withColumn("prior_state", F.lag("last.state").over(across))
@@ -68,21 +72,20 @@ def segment_summary(events, cutoff, hours=1):
 def incident_snapshot(summary, cutoff):
     """Latest state per incident with first observation, closing cycle, resolution hours and age.
 
-    Resolution is the last ``Resolved`` of the current closing cycle, else the entry into that cycle.
+    Resolution is the last ``Resolved`` of the current closing cycle, else the entry into that cycle. One sort of an incident's segments; its last
+    segment stays with its payload.
     """
     entry_at = F.greatest("inner_entry_at", F.when(F.col("edge_entry"), F.col("first_at")))
-    per_incident = summary.groupBy("incident_id").agg(
-        F.max_by("last", "segment").alias("last"), F.min("first_at").alias("first_observed_at"),
-        F.max(entry_at).alias("entry_at"), F.sum("events").alias("events"),
-        F.max(F.when(F.col("open_position").isNotNull(), F.struct("segment", F.col("open_position").alias("position"))))
-        .alias("open_order"),
-        F.max(F.when(F.col("resolved_position").isNotNull(),
-                     F.struct("segment", F.col("resolved_position").alias("position")))).alias("resolved_order"),
-        F.max("resolved_at").alias("resolved_at"))
-    in_cycle = F.col("resolved_order").isNotNull() & (
-        F.col("open_order").isNull() | (F.col("resolved_order") > F.col("open_order")))
-    snapshot = per_incident.select("incident_id", "last.*", "first_observed_at", "entry_at", "resolved_at",
-                                   in_cycle.alias("in_cycle"), (~is_terminal(F.col("last.state"))).alias("is_open"))
+    place = lambda position: F.col("segment").cast("decimal(20,0)") * F.lit(1 << 32) + F.col(position)
+    ordered = Window.partitionBy("incident_id").orderBy("segment")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    measures = {"first_observed_at": F.min("first_at"), "entry_at": F.max(entry_at), "open_order": F.max(place("open_position")),
+                "resolved_order": F.max(place("resolved_position")), "resolved_at": F.max("resolved_at")}
+    per_incident = (summary.select("*", *[measure.over(whole).alias(f"_{name}") for name, measure in measures.items()],
+                                   F.lead("segment").over(ordered).alias("_later")).filter("_later IS NULL"))
+    in_cycle = F.col("_resolved_order").isNotNull() & (F.col("_open_order").isNull() | (F.col("_resolved_order") > F.col("_open_order")))
+    snapshot = per_incident.select("incident_id", "last.*", F.col("_first_observed_at").alias("first_observed_at"), F.col("_entry_at").alias("entry_at"),
+                                   F.col("_resolved_at").alias("resolved_at"), in_cycle.alias("in_cycle"), (~is_terminal(F.col("last.state"))).alias("is_open"))
     closed_at = F.when(~F.col("is_open"),
                        F.when(F.col("in_cycle"), F.col("resolved_at")).otherwise(F.col("entry_at")))
     return (snapshot.withColumn("observed_resolution_at", closed_at)
@@ -99,18 +102,27 @@ def snapshot_keys(snapshot, cutoff):
             .withColumn("snapshot_date_key", date_key(ntz(cutoff))))
 
 
+def daily_flows(summary, hours=1, keys=()):
+    """Flows per day (and ``keys``) from segments; flows of disjoint sets of incidents add up."""
+    epoch = F.lit("1970-01-01").cast("date")
+    return (summary.withColumn("date", F.date_add(epoch, F.floor(F.col("segment") / (24 // hours)).cast("int")))
+            .groupBy(*keys, "date").agg(
+                F.count_if(F.col("prior_state").isNull()).alias("first_observed"),
+                F.sum(F.col("inner_entries") + F.col("edge_entry").cast("int")).alias("resolved_transitions"),
+                F.sum(F.col("inner_reopens") + F.coalesce(F.col("edge_reopen"), F.lit(False)).cast("int"))
+                .alias("reopened_transitions"),
+                F.sum(F.when(~is_terminal(F.col("last.state")), 1).otherwise(0)
+                      - F.when(F.col("prior_state").isNotNull() & ~is_terminal(F.col("prior_state")), 1).otherwise(0))
+                .alias("open_change")))
+
+
 def daily_queue(summary, cutoff, days=60, hours=1):
     """Daily flows and running backlog; days without events are kept, only the last ``days`` returned."""
-    epoch = F.lit("1970-01-01").cast("date")
-    flows = (summary.withColumn("date", F.date_add(epoch, F.floor(F.col("segment") / (24 // hours)).cast("int")))
-             .groupBy("date").agg(
-                 F.count_if(F.col("prior_state").isNull()).alias("first_observed"),
-                 F.sum(F.col("inner_entries") + F.col("edge_entry").cast("int")).alias("resolved_transitions"),
-                 F.sum(F.col("inner_reopens") + F.coalesce(F.col("edge_reopen"), F.lit(False)).cast("int"))
-                 .alias("reopened_transitions"),
-                 F.sum(F.when(~is_terminal(F.col("last.state")), 1).otherwise(0)
-                       - F.when(F.col("prior_state").isNotNull() & ~is_terminal(F.col("prior_state")), 1).otherwise(0))
-                 .alias("open_change")))
+    return queue_of_flows(daily_flows(summary, hours), cutoff, days)
+
+
+def queue_of_flows(flows, cutoff, days=60):
+    """The daily queue from flows with one row a day."""
     # One row per calendar day from here on: the spine and the running sums are bounded by the calendar.
     spine = flows.agg(F.min("date").alias("first")).select(
         F.explode(F.sequence("first", F.to_date(F.lit(str(cutoff)[:10])))).alias("date"))

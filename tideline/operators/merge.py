@@ -1,7 +1,11 @@
 """Merging revisioned, duplicated and late deliveries into a version history, as set operations.
 
-A version is ``(event_id, revision)``; the first delivery of it counts. Arrival order is
-``(available_as_of, batch_id, position)``, with everything already in the history before any new delivery.
+A version is ``(event_id, revision)``; the first delivery of it counts. Arrival order is ``(available_as_of, batch_id, position)``, with everything
+already in the history before any new delivery; ``(batch_id, position)`` names one delivery.
+
+Outcomes are found on narrow rows: keys, a number for the batch, the position and 64-bit hashes, all of fixed width, so every aggregate is a hash
+aggregate. The payload takes part in one exchange, when the versions that are new fetch it. An event comes from one source file, so
+history partitioned by slices of source files is read only where the increment has sources.
 """
 from typing import NamedTuple
 
@@ -9,122 +13,201 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.timecols import ntz
+from tideline.session import materialize
 
 ARRIVAL = ("available_as_of", "batch_id", "position")
+SOURCE = "source_sha256"
 BLOCK = 65_536
+#: Slices of a history by source file; a file's versions lie in one of them.
+SOURCE_BUCKETS = 1024
 
 
 class Merge(NamedTuple):
     versions: DataFrame
+    new: DataFrame
     history: DataFrame
     current: DataFrame
     counts: DataFrame
 
 
+def _prints(column):
+    """Two 64-bit hashes: equal for equal values, and fixed in width unlike the value."""
+    return F.xxhash64(column), F.xxhash64(F.lit("2"), column)
+
+
+def _unlike(name):
+    return (F.min(f"{name}_a") != F.max(f"{name}_a")) | (F.min(f"{name}_b") != F.max(f"{name}_b"))
+
+
+def _with_prints(rows, name):
+    a, b = _prints(F.col(name))
+    return rows.withColumns({f"{name}_a": a, f"{name}_b": b})
+
+
 def conflicts(history, incoming):
     """Versions delivered with more than one payload; any row refuses the run."""
-    both = _tagged(history, incoming)
-    return (both.groupBy("event_id", "revision")
-            .agg(F.min("content_hash").alias("low"), F.max("content_hash").alias("high"), F.count("*").alias("deliveries"))
-            .filter(F.col("low") != F.col("high")).select("event_id", "revision", "deliveries"))
+    both = _with_prints(_both(history, incoming, "event_id", "revision", "content_hash"), "content_hash")
+    return (both.groupBy("event_id", "revision").agg(F.count("*").alias("deliveries"), _unlike("content_hash").alias("unlike"))
+            .filter("unlike").select("event_id", "revision", "deliveries"))
 
 
 def identity_violations(history, incoming):
-    """Events whose accepted versions name more than one incident; any row refuses the run."""
-    return (_tagged(history, incoming).groupBy("event_id")
-            .agg(F.min("incident_id").alias("low"), F.max("incident_id").alias("high"))
-            .filter(F.col("low") != F.col("high")).select("event_id", "low", "high"))
+    """Events whose accepted versions name more than one incident; any row refuses the run. Names are fetched for these events only."""
+    both = _both(history, incoming, "event_id", "incident_id")
+    bad = (_with_prints(both, "incident_id").groupBy("event_id").agg(_unlike("incident_id").alias("unlike")).filter("unlike").select("event_id"))
+    return both.join(bad, "event_id", "left_semi").groupBy("event_id").agg(F.min("incident_id").alias("low"), F.max("incident_id").alias("high"))
 
 
 def require_consistent(history, incoming):
     if not conflicts(history, incoming).isEmpty():
-        raise ValueError("Conflicting payloads for the same event revision")
+        raise ValueError("One revision of an event was delivered with two payloads")
     if not identity_violations(history, incoming).isEmpty():
-        raise ValueError("A correction cannot change an event's incident identity")
+        raise ValueError("Versions of one event name two incidents")
 
 
-def _tagged(history, incoming):
-    new = incoming.withColumn("is_new", F.lit(True))
-    if history is None:
-        return new
-    return history.withColumn("is_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+def _both(history, incoming, *names):
+    new = incoming.select(*names)
+    return new if history is None else history.select(*names).unionByName(new)
+
+
+def source_bucket(source):
+    """Slice of the history in which all versions of a source file's events lie."""
+    return F.pmod(F.xxhash64(source), F.lit(SOURCE_BUCKETS)).cast("int")
 
 
 def affected(history, incoming):
-    """History of the events an increment touches; the rest of the history takes no part in the merge."""
+    """The part of the history that an increment can touch; the rest takes no part in the merge.
+
+    A history partitioned by ``source_bucket`` is pruned at run time: the increment's buckets (at most ``SOURCE_BUCKETS`` numbers) are broadcast to the scan.
+    Another one is reduced to the events of the increment.
+    """
     if history is None:
         return None
-    return history.join(incoming.select("event_id").distinct(), "event_id", "left_semi")
-
+    if "source_bucket" not in history.columns:
+        return history.join(incoming.select("event_id").distinct(), "event_id", "left_semi")
+    named = incoming.select(source_bucket(F.col(SOURCE)).alias("source_bucket")).distinct().filter("source_bucket >= 0")
+    return history.join(F.broadcast(named), "source_bucket", "left_semi")
 
-def classify(history, incoming, previous_as_of=None, block=BLOCK):
-    """One row per version with ``outcome`` (``kept`` for old ones, else inserted/corrected/stale) and ``late_arrival``.
 
-    The running maximum revision before a version decides its outcome. It is taken inside blocks of an event's
-    arrivals and then over one maximum per block, so an event with very many versions is not one task's work.
+class Narrow(NamedTuple):
+    """Versions of an increment and the history it can touch, without payload (stored), and the increment's batches in arrival order (stored)."""
+    versions: DataFrame
+    batches: DataFrame
+
+
+def _numbered(incoming, batches):
+    return incoming.join(batches, ["available_as_of", "batch_id"])
+
+
+def narrow_versions(history, incoming):
+    """One narrow row per version: ``event_id, revision, batch_no, position, deliveries`` and hashes of payload and incident. ``batch_no`` 0 is the history."""
+    order = Window.orderBy("available_as_of", "batch_id")
+    batches = materialize(incoming.select("available_as_of", "batch_id").distinct().withColumn("batch_no", F.row_number().over(order)), "batches")
+    names = ["event_id", "revision", "batch_no", "position", "is_new"]
+    checked = [name for name in ("content_hash", "incident_id") if name in incoming.columns]
+    rows = _numbered(incoming, batches).withColumn("is_new", F.lit(1)).select(*names, *checked)
+    if history is not None:
+        rows = rows.unionByName(history.select("event_id", "revision", F.lit(0).alias("batch_no"), F.lit(None).cast("long").alias("position"), F.lit(0).alias("is_new"), *checked))
+    for name in checked:
+        rows = _with_prints(rows, name)
+    spans = lambda source: {f"{end}_{name}_{x}": fn(f"{'' if source else f'{end}_'}{name}_{x}") for name in checked for x in "ab"
+                            for end, fn in (("low", F.min), ("high", F.max))}
+    named = lambda measures: [measure.alias(name) for name, measure in measures.items()]
+    # One exchange serves both steps: the earliest position in a batch, then the earliest batch.
+    by_batch = rows.repartition("event_id", "revision").groupBy("event_id", "revision", "batch_no").agg(
+        F.min("position").alias("position"), F.sum("is_new").alias("copies"), *named(spans(True)))
+    versions = by_batch.groupBy("event_id", "revision").agg(
+        F.min("batch_no").alias("batch_no"), F.min_by("position", "batch_no").alias("position"), F.sum("copies").alias("deliveries"), *named(spans(False)))
+    return Narrow(materialize(versions, "versions"), batches)
+
+
+def require_consistent_versions(narrow):
+    """``require_consistent`` over rows that ``narrow_versions`` has stored."""
+    apart = lambda name: " OR ".join(f"low_{name}_{x} <> high_{name}_{x}" for x in "ab")
+    if not narrow.versions.filter(apart("content_hash")).isEmpty():
+        raise ValueError("One revision of an event was delivered with two payloads")
+    spans = narrow.versions.groupBy("event_id").agg(*[fn(f"{end}_incident_id_{x}").alias(f"{end}_incident_id_{x}") for x in "ab" for end, fn in (("low", F.min), ("high", F.max))])
+    if not spans.filter(apart("incident_id")).isEmpty():
+        raise ValueError("Versions of one event name two incidents")
+
+
+def outcomes(narrow, block=BLOCK):
+    """One row per version among the touched events: ``event_id, revision, batch_no, position, outcome, duplicates``.
+
+    ``outcome`` is ``kept`` for versions of the history that arrive again or share an event with new ones, else inserted, corrected or stale. It follows
+    from the highest revision before a version, a running maximum along an event's arrivals. Events with more than ``block`` versions are cut into
+    blocks of arrivals: the maximum then runs inside blocks and over one row a block, so such an event is not one task's work.
     """
-    both = _tagged(history, incoming)
-    payload = [name for name in both.columns if name not in ("event_id", "revision", "is_new")]
-    first = F.struct("is_new", *ARRIVAL)
-    versions = (both.groupBy("event_id", "revision")
-                .agg(F.min_by(F.struct("is_new", *payload), first).alias("v"), F.count_if("is_new").alias("deliveries"))
-                .select("event_id", "revision", "v.*", "deliveries")
-                .withColumn("block", F.struct("is_new", "available_as_of", "batch_id",
-                                              F.floor(F.col("position") / block).alias("n"))))
-    inside = Window.partitionBy("event_id", "block").orderBy("position", "revision").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("event_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    peaks = (versions.groupBy("event_id", "block").agg(F.max("revision").alias("peak"))
-             .withColumn("earlier_peak", F.max("peak").over(across)).select("event_id", "block", "earlier_peak"))
+    versions = narrow.versions.select("event_id", "revision", "batch_no", "position", "deliveries")
+    large = versions.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("deliveries").alias("all_arrived")).filter(F.col("n") > block).drop("n")
+    large = materialize(large, "large")
+    is_large = F.col("all_arrived").isNotNull()
+    rows = versions.join(large, "event_id", "left").withColumns({
+        "batch": F.when(is_large, F.col("batch_no")).otherwise(0), "chunk": F.when(is_large & (F.col("batch_no") > 0), F.floor(F.col("position") / block)).otherwise(0)})
+    inside = Window.partitionBy("event_id", "batch", "chunk")
+    rows = rows.withColumn("inner_peak", F.max("revision").over(inside.orderBy("batch_no", "position", "revision").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("arrived", F.coalesce("all_arrived", F.sum("deliveries").over(inside))).filter("arrived > 0")
+    across = Window.partitionBy("event_id").orderBy("batch", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = (versions.join(large, "event_id").groupBy("event_id", F.col("batch_no").alias("batch"), F.when(F.col("batch_no") > 0, F.floor(F.col("position") / block)).otherwise(0).alias("chunk"))
+             .agg(F.max("revision").alias("peak")).withColumn("earlier_peak", F.max("peak").over(across)).drop("peak"))
+    placed = rows.join(peaks, ["event_id", "batch", "chunk"], "left")
     prior = F.greatest("inner_peak", "earlier_peak")
-    late = F.lit(False) if previous_as_of is None else F.col("updated_at") <= ntz(previous_as_of)
-    return (versions.withColumn("inner_peak", F.max("revision").over(inside)).join(peaks, ["event_id", "block"])
-            .withColumn("outcome", F.when(~F.col("is_new"), "kept").when(prior.isNull(), "inserted")
-                        .when(F.col("revision") > prior, "corrected").otherwise("stale"))
-            .withColumn("late_arrival", F.when(F.col("is_new"), late).otherwise(
-                F.col("late_arrival") if "late_arrival" in both.columns else F.lit(False)))
-            .withColumn("duplicates", F.col("deliveries") - F.col("is_new").cast("int"))
-            .drop("block", "inner_peak", "earlier_peak", "is_new", "deliveries"))
+    outcome = F.when(F.col("batch_no") == 0, "kept").when(prior.isNull(), "inserted").when(F.col("revision") > prior, "corrected").otherwise("stale")
+    return placed.select("event_id", "revision", "batch_no", "position", outcome.alias("outcome"), (F.col("deliveries") - (F.col("batch_no") > 0).cast("int")).alias("duplicates"))
 
 
-def new_versions(versions):
-    return versions.filter(F.col("outcome") != "kept").drop("outcome", "duplicates")
+def classify(history, incoming, block=BLOCK):
+    """Narrow rows and outcomes of an increment: ``(Narrow, outcomes)``."""
+    narrow = narrow_versions(history, incoming)
+    return narrow, outcomes(narrow, block)
+
+
+def new_versions(incoming, narrow, versions, previous_as_of=None):
+    """The versions that this run adds, with their payload, outcome and ``late_arrival``. The one place where payload is exchanged."""
+    late = F.lit(False) if previous_as_of is None else F.col("updated_at") <= ntz(previous_as_of)
+    chosen = versions.filter("outcome <> 'kept'").select("event_id", "revision", "batch_no", "position", "outcome")
+    return (_numbered(incoming, narrow.batches).join(chosen, ["event_id", "revision", "batch_no", "position"]).drop("batch_no")
+            .withColumn("late_arrival", late))
 
 
 def merge_deliveries(history, incoming, previous_as_of=None, received_at=None, block=BLOCK):
-    """Versions of the touched events, the grown (append-only) history, current events and outcome counts."""
+    """Versions of the touched events, the new ones with payload, the grown (append-only) history, current events and outcome counts."""
     stamped = incoming.withColumn("received_at", F.lit(received_at).cast("string"))
     if "received_at" in incoming.columns and received_at is None:
         stamped = incoming
-    versions = classify(affected(history, incoming), stamped, previous_as_of, block)
-    new = new_versions(versions)
-    grown = new if history is None else history.unionByName(new, allowMissingColumns=True)
-    return Merge(versions, grown, current_events(grown), outcome_counts(versions))
+    narrow, versions = classify(affected(history, incoming), stamped, block)
+    new = new_versions(stamped, narrow, versions, previous_as_of)
+    added = new.drop("outcome")
+    grown = added if history is None else history.unionByName(added, allowMissingColumns=True)
+    return Merge(versions, new, grown, current_events(grown), outcome_counts(versions, new))
+
+
+def current_changes(new):
+    """New current rows of an increment: per event the highest of its versions that rose above all before them. Stale versions change nothing."""
+    risen = new.filter(F.col("outcome").isin("inserted", "corrected"))
+    return current_events(risen.drop("outcome"))
 
 
-def refreshed_current(current, versions):
-    """Current events after an increment: untouched ones as they were, touched ones from their versions."""
-    touched = current_events(versions.drop("outcome", "duplicates"))
+def refreshed_current(current, new):
+    """Current events after an increment: changed ones from the new versions, the others as they were."""
+    changes = current_changes(new)
     if current is None:
-        return touched
-    return current.join(touched.select("event_id"), "event_id", "left_anti").unionByName(touched, allowMissingColumns=True)
+        return changes
+    return current.join(changes.select("event_id"), "event_id", "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
 def current_events(history):
-    """Highest revision of each event; combined before the shuffle, so version counts per event do not matter."""
-    rest = [name for name in history.columns if name != "event_id"]
-    return (history.groupBy("event_id").agg(F.max_by(F.struct(*rest), "revision").alias("v"))
-            .select("event_id", "v.*"))
+    """Highest revision of each event: a hash aggregate over narrow rows, then one fetch of the payload."""
+    top = history.groupBy("event_id").agg(F.max("revision").alias("revision"))
+    return history.join(top, ["event_id", "revision"])
 
 
-def outcome_counts(versions):
+def outcome_counts(versions, new):
     """One row: inserted, corrected, stale, duplicate and late counts of this run's accepted deliveries."""
-    accepted = F.col("outcome").isin("inserted", "corrected")
-    return versions.agg(
-        F.count_if(F.col("outcome") == "inserted").alias("inserted"),
-        F.count_if(F.col("outcome") == "corrected").alias("corrected"),
-        F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"),
-        F.count_if(F.col("outcome") == "stale").alias("stale_revisions"),
-        F.count_if(accepted & F.col("late_arrival")).alias("late_arrivals"))
+    graded = versions.agg(F.count_if(F.col("outcome") == "inserted").alias("inserted"), F.count_if(F.col("outcome") == "corrected").alias("corrected"),
+                          F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"), F.count_if(F.col("outcome") == "stale").alias("stale_revisions"))
+    late = new.agg(F.count_if(F.col("outcome").isin("inserted", "corrected") & F.col("late_arrival")).alias("late_arrivals"))
+    return graded.crossJoin(late)
 
 
 def merge_stats(counts, checked):

@@ -11,9 +11,9 @@ def _closed_hours(snapshot):
     return snapshot.withColumn("closed_hours", F.when(~F.col("is_open"), F.col("resolution_hours")))
 
 
-def summary(events, snapshot, cutoff):
-    """One row of headline numbers; the two percentiles are exact and distributed."""
-    seen = visible_events(events, cutoff).agg(F.count("*").alias("events"))
+def summary(events, snapshot, cutoff, seen=None):
+    """One row of headline numbers; the two percentiles are exact and distributed. ``seen`` is the one-row count of visible events where it is known."""
+    seen = visible_events(events, cutoff).agg(F.count("*").alias("events")) if seen is None else seen
     counts = snapshot.agg(
         F.count("*").alias("incidents"), F.count_if("is_open").alias("backlog"),
         F.count_if(~F.col("is_open")).alias("resolved"),

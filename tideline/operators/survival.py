@@ -22,30 +22,51 @@ HOUR = int(MICROS_PER_HOUR)
 BUCKET = HOUR // 12
 
 
-def first_observations(events, observation_end):
-    """First observation, first terminal time and last time per incident, combined before the shuffle."""
-    seen = events.filter(F.col("updated_at") <= ntz(observation_end))
-    return seen.groupBy("incident_id").agg(
-        F.min(F.struct(*ORDER, "state", "opened_at", *FIELDS)).alias("first"),
-        F.min(F.when(is_terminal(F.col("state")), F.col("updated_at"))).alias("closed_at"),
-        F.max("updated_at").alias("last_at"))
+def first_observations(events, ends):
+    """One row per incident: its first row by ``ORDER`` (as ``first``), first terminal time, and the last time up to each of ``ends`` (``{name: time}``).
 
-
-def candidates(events, start, end, observation_end):
-    """Incidents first seen in ``[start, end)`` with their exclusion reason (null when they qualify)."""
+    One scan and one exchange of the rows, whatever the number of observation ends. Rows are sorted inside hours of an incident; measures are taken over the
+    whole hour and its first row stays with its payload. The same again over one row an hour, so a hot incident is not one task's work.
+    """
+    segment = F.date_diff(F.to_date("updated_at"), F.lit("1970-01-01").cast("date")) * 24 + F.hour("updated_at")
+    latest = max(str(end) for end in ends.values())
+    kept = list(dict.fromkeys([*ORDER, "state", "opened_at", *FIELDS]))
+    seen = events.filter(F.col("updated_at") <= ntz(latest)).select("incident_id", *kept, segment.alias("segment"))
+    closed = F.when(is_terminal(F.col("state")), F.col("updated_at"))
+    inside = Window.partitionBy("incident_id", "segment")
+    measures = {"closed_at": F.min(closed)} | {f"last_{name}": F.max(F.when(F.col("updated_at") <= ntz(end), F.col("updated_at"))) for name, end in ends.items()}
+    hours = (seen.withColumns({"place": F.row_number().over(inside.orderBy(*ORDER)), **{name: measure.over(inside) for name, measure in measures.items()}})
+             .filter("place = 1").select("incident_id", "segment", F.struct(*kept).alias("first"), *measures))
+    whole = Window.partitionBy("incident_id")
+    again = {name: (F.min if name == "closed_at" else F.max)(name).over(whole) for name in measures}
+    return (hours.withColumns({"place": F.row_number().over(whole.orderBy("segment")), **again}).filter("place = 1").drop("place", "segment"))
+
+
+def split_candidates(events, splits):
+    """Incidents first seen in ``[start, end)`` of a split, with their exclusion reason (null when they qualify). ``splits``: ``{name: (start, end, observation end)}``."""
+    rows = first_observations(events, {name: observed for name, (_, _, observed) in splits.items()})
+    cells = F.array(*[F.struct(F.lit(name).alias("split"), ntz(start).alias("start"), ntz(end).alias("end"), ntz(observed).alias("observed"), F.col(f"last_{name}").alias("last_at"))
+                      for name, (start, end, observed) in splits.items()])
     origin = F.col("first.updated_at")
+    rows = rows.select("incident_id", "first", "closed_at", F.explode(cells).alias("s")).filter(
+        (origin >= F.col("s.start")) & (origin < F.col("s.end")) & (origin <= F.col("s.observed")))
+    closed = F.when(F.col("closed_at") <= F.col("s.observed"), F.col("closed_at"))
     age = hours_between(F.col("first.opened_at"), origin)
-    follow = micros_between(origin, F.coalesce("closed_at", "last_at"))
+    follow = micros_between(origin, F.coalesce(closed, "s.last_at"))
     reason = (F.when(is_terminal(F.col("first.state")), "first_already_terminal")
               .when((age < 0) | (age > 24), "delayed_first_observation").when(follow <= 0, "no_followup"))
     limit = F.lit(LIMIT_HOURS * HOUR)
-    return (first_observations(events, observation_end).filter((origin >= ntz(start)) & (origin < ntz(end)))
-            .select("incident_id", origin.alias("origin"), F.least(follow, limit).alias("duration_us"),
-                    (F.col("closed_at").isNotNull() & (follow <= limit)).alias("event"),
-                    *[F.col(f"first.{name}").alias(name) for name in FIELDS],
-                    F.weekday(origin).cast("string").alias("weekday"),
-                    F.floor(F.hour(origin) / 6).cast("string").alias("hour_band"),
-                    F.when(age <= 1, "0–1 h").otherwise("1–24 h").alias("age_band"), reason.alias("exclusion")))
+    return rows.select("s.split", "incident_id", origin.alias("origin"), F.least(follow, limit).alias("duration_us"),
+                       (closed.isNotNull() & (follow <= limit)).alias("event"),
+                       *[F.col(f"first.{name}").alias(name) for name in FIELDS],
+                       F.weekday(origin).cast("string").alias("weekday"),
+                       F.floor(F.hour(origin) / 6).cast("string").alias("hour_band"),
+                       F.when(age <= 1, "0–1 h").otherwise("1–24 h").alias("age_band"), reason.alias("exclusion"))
+
+
+def candidates(events, start, end, observation_end):
+    """``split_candidates`` of one split."""
+    return split_candidates(events, {"only": (start, end, observation_end)}).drop("split")
 
 
 def cohort(found):
@@ -53,8 +74,8 @@ def cohort(found):
         "duration", F.col("duration_us") / F.lit(MICROS_PER_HOUR))
 
 
-def exclusions(found):
-    return found.filter(F.col("exclusion").isNotNull()).groupBy("exclusion").agg(F.count("*").alias("incidents"))
+def exclusions(found, by=()):
+    return found.filter(F.col("exclusion").isNotNull()).groupBy(*by, "exclusion").agg(F.count("*").alias("incidents"))
 
 
 def _product_so_far(rows, keys, bucket, order, factor, name):
@@ -123,46 +144,148 @@ def person_periods(rows):
             .drop("left", "right"))
 
 
-def fit_hazard(rows, alpha=ALPHA):
+def hazard_cells(rows):
+    """Exposure and events per distinct feature combination and bin: all that the likelihood needs."""
+    return person_periods(rows).groupBy(*FEATURES, "interval").agg(F.sum("exposure").alias("exposure"), F.sum("resolved").alias("events"))
+
+
+def fit_hazard(rows, alpha=ALPHA, tolerance=1e-7, steps=500):
     """Piecewise-exponential hazard as a ridge Poisson regression; returns ``(feature, value, coefficient)``.
 
-    The likelihood only needs events and exposure per distinct feature combination, so the data is collapsed to those
-    before iterating. The solver divides by the sum of fitted means (the event count at the optimum), hence
-    ``regParam = alpha * exposure / events``. The solver accepts at most 4,096 levels, which bounds the result.
+    Minimises the sum of fitted events minus events times log rate over cells, plus ``alpha * exposure / 2`` times the squared coefficients (without the
+    intercept), by L-BFGS scaled with the curvature at the start. Each step is one job: tasks add up gradients over their cells, sums per level are
+    exchanged, and only the levels' sums reach the driver, which holds the coefficients. There is no limit on levels. Without any event the
+    intercept is -30, the lowest log rate that ``hazard_rates`` uses, and all others are 0.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+    import numpy as np
 
     from tideline.session import materialize
 
-    names = [*FEATURES, "interval"]
-    cells = person_periods(rows).groupBy(*names).agg(F.sum("exposure").alias("exposure"), F.sum("resolved").alias("events"))
-    cells = materialize(cells.withColumn("rate", F.col("events") / F.col("exposure")), "cells")
+    names, spark = [*FEATURES, "interval"], rows.sparkSession
+    cells = materialize(hazard_cells(rows), "cells")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names]))
+    levels = [(r["feature"], r["value"]) for r in cells.select(pairs.alias("p")).select("p.*").distinct().orderBy("feature", "value").collect()]
     totals = cells.agg(F.sum("exposure").alias("exposure"), F.sum("events").alias("events")).first()
-    indexed, encoded = [f"{n}_index" for n in names], [f"{n}_vector" for n in names]
-    steps = [StringIndexer(inputCols=names, outputCols=indexed, stringOrderType="alphabetAsc"),
-             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False),
-             VectorAssembler(inputCols=encoded, outputCol="features"),
-             GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol="rate", weightCol="exposure",
-                                         regParam=alpha * totals["exposure"] / totals["events"], maxIter=100, tol=1e-9)]
-    model = Pipeline(stages=steps).fit(cells)
-    labels, regression = model.stages[0].labelsArray, model.stages[-1]
-    levels = [(name, value) for name, values in zip(names, labels) for value in values]
-    table = [("", "", float(regression.intercept))]
-    table += [(name, value, float(c)) for (name, value), c in zip(levels, regression.coefficients.toArray())]
-    return rows.sparkSession.createDataFrame(table, "feature string, value string, coefficient double")
+
+    def table(intercept, coefficients):
+        found = [("", "", float(intercept)), *[(f, v, float(c)) for (f, v), c in zip(levels, coefficients, strict=True)]]
+        return spark.createDataFrame(found, "feature string, value string, coefficient double")
+
+    if not totals["events"]:
+        return table(-30.0, np.zeros(len(levels)))
+    numbered = spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(levels)], "feature string, value string, place int")
+    placed = cells
+    for name in names:
+        # Null levels are levels of their own.
+        own = numbered.filter(F.col("feature") == name).select(F.col("value").alias("_v"), F.col("place").alias(f"{name}_place"))
+        placed = placed.join(own, F.col(name).eqNullSafe(F.col("_v"))).drop("_v")
+    placed = materialize(placed.select(F.array(*[f"{name}_place" for name in names]).alias("places"), "exposure", "events"), "placed")
+    penalty = np.full(len(levels) + 1, alpha * totals["exposure"])
+    penalty[0] = 0.0
+
+    def evaluate(beta):
+        """Objective, gradient and curvature per coefficient."""
+        shared = spark.sparkContext.broadcast(beta)
+
+        def partial(batches):
+            import pandas as pd
+            coefficients = shared.value
+            gradient, curvature, loss = np.zeros(len(coefficients)), np.zeros(len(coefficients)), 0.0
+            for batch in batches:
+                if len(batch):
+                    places = np.stack(batch["places"].to_numpy())
+                    log_rate = coefficients[0] + coefficients[places].sum(axis=1)
+                    fitted = batch["exposure"].to_numpy() * np.exp(np.minimum(log_rate, 60.0))
+                    rest = fitted - batch["events"].to_numpy()
+                    loss += float(fitted.sum() - (batch["events"].to_numpy() * log_rate).sum())
+                    gradient += np.bincount(places.ravel(), np.repeat(rest, places.shape[1]), len(coefficients))
+                    curvature += np.bincount(places.ravel(), np.repeat(fitted, places.shape[1]), len(coefficients))
+                    gradient[0] += rest.sum()
+                    curvature[0] += fitted.sum()
+            used = np.flatnonzero(curvature)
+            yield pd.DataFrame({"place": np.append(used, -1), "g": np.append(gradient[used], loss), "h": np.append(curvature[used], 0.0)})
+
+        sums = placed.mapInPandas(partial, "place long, g double, h double").groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        gradient, curvature, loss = penalty * beta, penalty.copy(), float((penalty * beta * beta).sum() / 2)
+        for place, g, h in sums:
+            if place < 0:
+                loss += g
+            else:
+                gradient[place] += g
+                curvature[place] += h
+        shared.unpersist()
+        return loss, gradient, curvature
+
+    beta = np.zeros(len(levels) + 1)
+    beta[0] = np.log(totals["events"] / totals["exposure"])
+    loss, gradient, curvature = evaluate(beta)
+    scale, memory = 1.0 / np.maximum(curvature, 1e-12), []
+    blocks = [np.array([i + 1 for i, (f, _) in enumerate(levels) if f == name]) for name in names]
+
+    def scaled(vector):
+        """Steps by the curvature at the start that leave every feature's sum as it is: at the optimum the sums are 0, as shifts between features only cost penalty."""
+        out = vector * scale
+        for block in blocks:
+            out[block] -= scale[block] * (out[block].sum() / scale[block].sum())
+        return out
+
+    for _ in range(steps):
+        if np.abs(gradient).max() <= tolerance * max(1.0, totals["events"]):
+            break
+        direction, kept = gradient.copy(), []
+        for moved, turned in reversed(memory):
+            share = (moved @ direction) / (turned @ moved)
+            kept.append(share)
+            direction -= share * turned
+        if memory:
+            moved, turned = memory[-1]
+            direction = scaled(direction) * (moved @ turned) / (turned @ scaled(turned))
+        else:
+            direction = scaled(direction) / 2
+        for (moved, turned), share in zip(memory, reversed(kept), strict=True):
+            direction += moved * (share - (turned @ direction) / (turned @ moved))
+        step, slope = 1.0, float(gradient @ direction)
+        while True:
+            trial = beta - step * direction
+            next_loss, next_gradient, _ = evaluate(trial)
+            if next_loss <= loss - 1e-4 * step * slope + 1e-12 * abs(loss) or step < 1e-8:
+                break
+            step /= 2
+        moved, turned = trial - beta, next_gradient - gradient
+        if moved @ turned > 1e-14:
+            memory = [*memory[-19:], (moved, turned)]
+        beta, loss, gradient = trial, next_loss, next_gradient
+    else:
+        raise ValueError(f"The hazard fit did not settle in {steps} steps")
+    return table(beta[0], beta[1:])
+
+
+def fitted_events(rows, coefficients, alpha=ALPHA):
+    """Per level ``feature, value, events, fitted``: observed events and what the fit puts in their place, its penalty included. Equal at the optimum."""
+    cells = hazard_cells(rows)
+    names = [*FEATURES, "interval"]
+    rated = cells.withColumn("log_rate", F.lit(0.0)).crossJoin(coefficients.filter("feature = ''").select(F.col("coefficient").alias("_0")))
+    for name in names:
+        own = coefficients.filter(F.col("feature") == name).select(F.col("value").alias("_v"), F.col("coefficient").alias("_c"))
+        rated = rated.join(own, F.col(name).eqNullSafe(F.col("_v"))).withColumn("log_rate", F.col("log_rate") + F.col("_c")).drop("_v", "_c")
+    rated = rated.withColumn("mu", F.col("exposure") * F.exp(F.col("log_rate") + F.col("_0")))
+    pairs = F.explode(F.array(F.struct(F.lit("").alias("feature"), F.lit("").alias("value")), *[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names]))
+    sums = rated.select(pairs.alias("p"), "events", "mu").groupBy("p.feature", "p.value").agg(F.sum("events").alias("events"), F.sum("mu").alias("mu")).alias("s")
+    total = cells.agg((F.sum("exposure") * alpha).alias("penalty"))
+    fit = coefficients.alias("c")
+    fitted = F.col("mu") + F.when(F.col("s.feature") == "", 0.0).otherwise(F.col("penalty") * F.col("coefficient"))
+    return sums.join(fit, F.expr("s.feature = c.feature AND s.value <=> c.value")).crossJoin(total).select("s.feature", "s.value", "events", fitted.alias("fitted"))
 
 
 def hazard_rates(profiles, coefficients):
     """Seven bin rates per profile as ``rates``; unknown levels count zero, log rates are clamped to [-30, 10].
 
-    Coefficients hold at most 4,096 levels, so they are broadcast.
+    Levels are joined by size: few are broadcast by the planner, many are not.
     """
     base = profiles.crossJoin(F.broadcast(coefficients.filter("feature = ''").select(F.col("coefficient").alias("log_rate"))))
     for name in FEATURES:
         levels = coefficients.filter(F.col("feature") == name).select(F.col("value").alias(name), F.col("coefficient").alias("_c"))
-        base = base.join(F.broadcast(levels), name, "left").withColumn(
+        base = base.join(levels, name, "left").withColumn(
             "log_rate", F.col("log_rate") + F.coalesce("_c", F.lit(0.0))).drop("_c")
     offsets = coefficients.filter("feature = 'interval'").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("value") == str(i), F.col("coefficient"))), F.lit(0.0)) for i in range(len(BINS) - 1)]).alias("_o"))

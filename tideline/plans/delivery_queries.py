@@ -13,15 +13,20 @@ PREVIOUS = "1999-06-30 23:59:59"
 CUTOFF = "2001-06-30 23:59:59"
 
 
+PAYLOAD = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+#: Order keys of one source file.
+FILE_KEYS = 5000
+
+
 def version_rows(spark, sf_dir, incident=None, content=None):
-    """``lineitem`` as revisioned deliveries; every column depends on its own row only."""
-    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    lines = read_table(spark, sf_dir, "lineitem").select(*names)
+    """``lineitem`` as revisioned deliveries with all its columns as payload; every column depends on its own row only."""
+    lines = read_table(spark, sf_dir, "lineitem").select(*PAYLOAD, "l_shipdate")
     ship = F.to_date("l_shipdate")
     week = week_end(F.date_add(ship, (F.col("l_partkey") % 30).cast("int"))).cast("string")
     revision = (F.col("l_suppkey") % 5 + 1).cast("int")
     return lines.select(
         F.sha2(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), 256).alias("event_id"),
+        F.sha2(F.concat(F.lit("lines-"), F.floor(F.col("l_orderkey") / FILE_KEYS).cast("string")), 256).alias("source_sha256"),
         revision.alias("revision"),
         (F.concat(F.lit("INC"), F.col("l_orderkey").cast("string")) if incident is None else incident).alias("incident_id"),
         F.col("l_shipdate").alias("updated_at"),
@@ -29,7 +34,7 @@ def version_rows(spark, sf_dir, incident=None, content=None):
                            (content if content is not None else revision).cast("string")), 256).alias("content_hash"),
         F.concat(F.lit("batch-"), week).alias("batch_id"), F.concat(week, F.lit(" 23:59:59")).alias("available_as_of"),
         ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 4000
-         + F.date_diff(ship, F.lit("1994-01-01").cast("date"))).alias("position"))
+         + F.date_diff(ship, F.lit("1994-01-01").cast("date"))).alias("position"), *PAYLOAD)
 
 
 VERSIONS_SQL = """landed AS (
@@ -39,8 +44,8 @@ raw_versions AS (
     CAST(l_suppkey % 5 + 1 AS INTEGER) AS revision, 'INC' || CAST(l_orderkey AS VARCHAR) AS incident_id, l_shipdate AS updated_at,
     'batch-' || strftime(day + CAST(7 - isodow(day) AS INTEGER), '%Y-%m-%d') AS batch_id,
     strftime(day + CAST(7 - isodow(day) AS INTEGER), '%Y-%m-%d') || ' 23:59:59' AS available_as_of,
-    (l_partkey * 100000 + l_suppkey) * 4000 + date_diff('day', DATE '1994-01-01', ship) AS position, l_orderkey, l_partkey, l_suppkey
-  FROM landed)"""
+    (l_partkey * 100000 + l_suppkey) * 4000 + date_diff('day', DATE '1994-01-01', ship) AS position, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM landed)"""
 
 MERGED_SQL = VERSIONS_SQL + f""", ranked AS (
   SELECT *, available_as_of > '{PREVIOUS}' AS is_new, row_number() OVER (PARTITION BY event_id, revision
@@ -54,35 +59,36 @@ classified AS (SELECT *, CASE WHEN NOT is_new THEN 'kept' WHEN seen IS NULL THEN
 
 
 def merged_with_history(spark, sf_dir):
-    """Deliveries up to ``PREVIOUS`` merged first and stored, the rest merged onto that history."""
-    rows = version_rows(spark, sf_dir)
+    """Deliveries up to ``PREVIOUS`` merged first and stored by slices of source files, the rest merged onto that history."""
+    rows = materialize(version_rows(spark, sf_dir), "landed")
     old = rows.filter(F.col("available_as_of") <= PREVIOUS)
     new = rows.filter(F.col("available_as_of") > PREVIOUS)
-    history = materialize(merge.merge_deliveries(None, old).history, "history")
-    return merge.merge_deliveries(history, new, PREVIOUS), history
-
+    first = merge.new_versions(old, *merge.classify(None, old)).drop("outcome").withColumn("source_bucket", merge.source_bucket(F.col("source_sha256")))
+    history = materialize(first, "history", partition_by=["source_bucket"])
+    narrow, versions = merge.classify(merge.affected(history, new), new)
+    versions = materialize(versions, "outcomes")
+    added = materialize(merge.new_versions(new, narrow, versions, PREVIOUS), "added")
+    return history.drop("source_bucket"), versions, added
 
-def merged(spark, sf_dir):
-    return merged_with_history(spark, sf_dir)[0]
 
-
-@query("q_merge_events", "WITH " + MERGED_SQL + """
-SELECT event_id, revision, incident_id, batch_id, updated_at, outcome, late_arrival, duplicates FROM classified""")
+@query("q_merge_events", "WITH " + MERGED_SQL + f"""
+SELECT event_id, revision, incident_id, batch_id, updated_at, outcome, late_arrival, duplicates, {', '.join(PAYLOAD)} FROM classified""")
 def merge_events(spark, sf_dir):
-    """Every version with its outcome; versions of events this run did not touch are simply kept."""
-    result, history = merged_with_history(spark, sf_dir)
-    versions = materialize(result.versions, "versions")
-    columns = ["event_id", "revision", "incident_id", "batch_id", "updated_at", "outcome", "late_arrival", "duplicates"]
-    untouched = (history.join(versions.select("event_id").distinct(), "event_id", "left_anti")
-                 .withColumns({"outcome": F.lit("kept"), "duplicates": F.lit(0)}))
-    return versions.select(*columns).unionByName(untouched.select(*columns))
+    """Every version with its payload and outcome; versions of events this run did not touch are simply kept."""
+    history, versions, added = merged_with_history(spark, sf_dir)
+    columns = ["event_id", "revision", "incident_id", "batch_id", "updated_at", "outcome", "late_arrival", "duplicates", *PAYLOAD]
+    again = versions.filter("duplicates > 0").select("event_id", "revision", "duplicates")
+    kept = history.withColumn("outcome", F.lit("kept")).unionByName(added)
+    return kept.join(again, ["event_id", "revision"], "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0))).select(*columns)
 
 
 @query("q_current_events", "WITH " + MERGED_SQL + """
-SELECT event_id, max(revision) AS revision, max_by(batch_id, revision) AS batch_id, max_by(updated_at, revision) AS updated_at
-FROM classified GROUP BY event_id""")
+SELECT * FROM (SELECT event_id, revision, batch_id, updated_at, """ + ", ".join(PAYLOAD) + """ FROM classified
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY revision DESC) = 1)""")
 def current_events(spark, sf_dir):
-    return merged(spark, sf_dir).current.select("event_id", "revision", "batch_id", "updated_at")
+    """Current events of the history, then changed by the increment's new versions."""
+    history, _, added = merged_with_history(spark, sf_dir)
+    return merge.refreshed_current(merge.current_events(history), added).select("event_id", "revision", "batch_id", "updated_at", *PAYLOAD)
 
 
 @query("q_merge_stats", "WITH " + MERGED_SQL + """, c AS (
@@ -95,7 +101,8 @@ SELECT count(*) AS input_rows, count(*) FILTER (WHERE errors = '') AS valid_rows
   any_value(stale_revisions) AS stale_revisions, any_value(late_arrivals) AS late_arrivals,
   round(count(*) FILTER (WHERE errors <> '') / CAST(count(*) AS DOUBLE), 6) AS reject_rate FROM checked, c""")
 def merge_stats(spark, sf_dir):
-    return rounded(merge.merge_stats(merged(spark, sf_dir).counts, checked_rows(spark, sf_dir)).drop("events"))
+    _, versions, added = merged_with_history(spark, sf_dir)
+    return rounded(merge.merge_stats(merge.outcome_counts(versions, added), checked_rows(spark, sf_dir)).drop("events"))
 
 
 @query("q_quality_totals", "WITH " + CHECKED_SQL + """
@@ -111,8 +118,8 @@ def quality_totals(spark, sf_dir):
 @query("q_late_arrivals", "WITH " + MERGED_SQL + """
 SELECT event_id, revision, updated_at, batch_id FROM classified WHERE late_arrival AND outcome IN ('inserted', 'corrected')""")
 def late_arrivals(spark, sf_dir):
-    return (merged(spark, sf_dir).versions.filter(F.col("late_arrival") & F.col("outcome").isin("inserted", "corrected"))
-            .select("event_id", "revision", "updated_at", "batch_id"))
+    added = merged_with_history(spark, sf_dir)[2]
+    return added.filter(F.col("late_arrival") & F.col("outcome").isin("inserted", "corrected")).select("event_id", "revision", "updated_at", "batch_id")
 
 
 @query("q_conflicts", "WITH " + VERSIONS_SQL + """
@@ -295,48 +302,63 @@ PUBLISH_CUTOFF = "2024-01-21 23:59:59"
 
 
 def publish_run(spark, sf_dir, cutoff=PUBLISH_CUTOFF):
-    """The full incremental run over the source rows that pass validation, two cutoffs deep."""
-    root = scratch_path(spark, "published")
-    clean = checked_rows(spark, sf_dir).filter(F.size("errors") == 0)
-    names = [name for name in raw_rows(spark, sf_dir).columns]
-    envelopes = deliveries.weekly_envelopes(clean.select(*names))
-    table = deliveries.weekly_registry(envelopes).select(
-        "batch_id", F.sha2("batch_id", 256).alias("sha256"), F.concat(F.lit("landing/"), "batch_id").alias("key"),
-        "rows", "available_as_of")
-    day = F.date_format("week_end", "yyyy-MM-dd")
-    identified = envelopes.select(F.concat(F.lit("batch-"), day).alias("batch_id"),
-                                  F.concat(day, F.lit(" 23:59:59")).alias("available_as_of"),
-                                  F.col("source_row").alias("position"), "source_sha256", "source_row", "revision", "record")
+    """The whole log as weekly gzip files with their bad rows, one of them spoiled; landed, admitted and published, two cutoffs deep.
+
+    The file of the week before the first cutoff has another checksum than its entry and is refused as a whole by both runs.
+    """
+    root, landing = scratch_path(spark, "published"), scratch_path(spark, "landing")
+    weekly = deliveries.weekly_envelopes(raw_rows(spark, sf_dir))
+    deliveries.write_deliveries(weekly.repartition("week_end"), f"{landing}/landing", rows_per_file=0)
+    files = audit_csv.file_fingerprints(spark, f"{landing}/landing/*/*.gz")
+    rows = deliveries.read_deliveries(spark, f"{landing}/landing").groupBy("file").agg(F.count("*").alias("rows"))
+    week = F.regexp_extract("file", "week_end=([0-9-]+)", 1)
+    sha = F.when(week == REFUSED_WEEK, F.reverse("source_sha256")).otherwise(F.col("source_sha256"))
+    table = files.select(audit_csv.plain_path(F.col("file")).alias("plain"), sha.alias("sha256")).join(
+        rows.withColumn("plain", audit_csv.plain_path(F.col("file"))), "plain").select(
+        F.concat(F.lit("batch-"), week).alias("batch_id"), "sha256", F.regexp_extract("file", "(landing/week_end=.*)$", 1).alias("key"), "rows",
+        F.concat(week, F.lit(" 23:59:59")).alias("available_as_of"))
     table = materialize(table, "registry")
     for as_of in ("2024-01-14 23:59:59", cutoff):
-        incremental.run(spark, root, table, identified, as_of, RAW_SOURCE, generated_at="2024-02-01 00:00:00")
+        incremental.run_landed(spark, root, landing, table, as_of, RAW_SOURCE, generated_at="2024-02-01 00:00:00", max_reject_rate=0.2)
     return root
 
 
-PUBLISHED_SQL = "WITH " + CHECKED_SQL + f""", good AS (SELECT *, lag(1) OVER (PARTITION BY incident_id ORDER BY n) AS x FROM checked
-  WHERE errors = '' AND parsed_update <= TIMESTAMP '{PUBLISH_CUTOFF}')
+REFUSED_WEEK = "2024-01-14"
+
+PUBLISHED_SQL = "WITH " + CHECKED_SQL + f""", landed AS (SELECT *, CAST(parsed_update AS DATE) + CAST(7 - isodow(parsed_update) AS INTEGER) AS week_end FROM checked
+  WHERE parsed_update <= TIMESTAMP '{PUBLISH_CUTOFF}'),
+seen AS (SELECT * FROM landed WHERE week_end <> DATE '{REFUSED_WEEK}'), good AS (SELECT * FROM seen WHERE errors = '')
 SELECT 2 AS sequence, '{PUBLISH_CUTOFF}' AS as_of, t.name AS table_name, CAST(CASE t.name
     WHEN 'events' THEN (SELECT count(*) FROM good) WHEN 'event_revisions' THEN (SELECT count(*) FROM good)
-    WHEN 'fact_incident_history' THEN (SELECT count(*) FROM good)
+    WHEN 'fact_incident_history' THEN (SELECT count(*) FROM good) WHEN 'quarantine' THEN (SELECT count(*) FROM seen WHERE errors <> '')
     WHEN 'fact_incident_snapshot' THEN (SELECT count(DISTINCT incident_id) FROM good)
     WHEN 'dim_assignment_group' THEN (SELECT count(DISTINCT assignment_group) FROM good)
-    WHEN 'dim_priority' THEN (SELECT count(DISTINCT priority) FROM good) END AS BIGINT) AS rows
+    WHEN 'dim_priority' THEN (SELECT count(DISTINCT priority) FROM good)
+    WHEN 'processed' THEN (SELECT count(DISTINCT week_end) FROM seen) WHEN 'refused_files: checksum' THEN 2
+    WHEN 'statistics: inserted' THEN (SELECT count(*) FROM good) WHEN 'statistics: rejected_rows' THEN (SELECT count(*) FROM seen WHERE errors <> '')
+    ELSE (SELECT count(*) FROM seen WHERE list_contains(string_split(errors, ','), split_part(t.name, ': ', 2))) END AS BIGINT) AS rows
 FROM (VALUES ('events'), ('event_revisions'), ('fact_incident_history'), ('fact_incident_snapshot'), ('dim_assignment_group'),
-  ('dim_priority')) t(name)"""
+  ('dim_priority'), ('quarantine'), ('processed'), ('refused_files: checksum'), ('statistics: inserted'), ('statistics: rejected_rows'),
+  ('rejected: missing_incident_id'), ('rejected: invalid_incident_id'), ('rejected: unknown_state'), ('rejected: missing_opened_at'),
+  ('rejected: invalid_opened_at'), ('rejected: update_before_open'), ('rejected: negative_sys_mod_count'), ('rejected: invalid_sys_mod_count'),
+  ('rejected: invalid_reopen_count')) t(name)"""
 
 
 @query("q_publish_state", PUBLISHED_SQL)
 def publish_state(spark, sf_dir):
+    """Row counts of the published tables, what was quarantined or refused and why, and the outcome counts of both runs."""
     root = publish_run(spark, sf_dir)
     pointer = publish.read_pointer(spark, root)
-    names = ("events", "event_revisions", "fact_incident_history", "fact_incident_snapshot", "dim_assignment_group", "dim_priority")
-    parts = [publish.published_table(spark, root, name, pointer).agg(F.count("*").alias("rows")).select(
-        F.lit(pointer["sequence"]).alias("sequence"), F.lit(pointer["as_of"]).alias("as_of"),
-        F.lit(name).alias("table_name"), "rows") for name in names]
+    table = lambda name: publish.published_table(spark, root, name, pointer)
+    names = ("events", "event_revisions", "fact_incident_history", "fact_incident_snapshot", "dim_assignment_group", "dim_priority", "quarantine", "processed")
+    parts = [table(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name in names]
+    parts.append(table("refused_files").select(F.explode("violations").alias("v")).groupBy(F.concat(F.lit("refused_files: "), "v").alias("table_name")).agg(F.count("*").alias("rows")))
+    parts += [table("run_statistics").agg(F.sum(name).alias("rows")).select(F.lit(f"statistics: {name}").alias("table_name"), "rows") for name in ("inserted", "rejected_rows")]
+    parts.append(table("reject_reasons").groupBy(F.concat(F.lit("rejected: "), "reason").alias("table_name")).agg(F.sum("rows").alias("rows")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    return result.select(F.lit(pointer["sequence"]).alias("sequence"), F.lit(pointer["as_of"]).alias("as_of"), "table_name", "rows")
 
 
 @query("q_public_report", "WITH " + CHECKED_SQL + """

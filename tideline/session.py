@@ -61,3 +61,20 @@ def materialize(df, name, partition_by=None):
 
 def read_table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def file_system(spark, path):
+    """A path as Hadoop knows it, and its file system."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark, path):
+    jvm_path, system = file_system(spark, path)
+    return system.exists(jvm_path)
+
+
+def qualified(spark, path):
+    """The path with scheme, as scans name their files."""
+    jvm_path, system = file_system(spark, path)
+    return system.makeQualified(jvm_path).toString()

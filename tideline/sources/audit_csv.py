@@ -55,8 +55,8 @@ def read_audit_csv(spark, paths, fingerprints=None):
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (rows.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
               .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-              .join(files.select(_plain_path(F.col("file")).alias("plain"), "source_sha256"),
-                    F.col("plain") == _plain_path(F.col("file"))).drop("plain"))
+              .join(files.select(plain_path(F.col("file")).alias("plain"), "source_sha256"),
+                    F.col("plain") == plain_path(F.col("file"))).drop("plain"))
     return (rows.join(blocks, ["file", "block"])
             .withColumn("source_row", (F.col("seq") - F.col("first") + F.col("before") + 2))
             .select("source_sha256", "source_row", *columns))
@@ -70,7 +70,7 @@ def _numbered(spark, paths, header, multi_line):
                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")))
 
 
-def _plain_path(column):
+def plain_path(column):
     """``file:/x`` and ``file:///x`` name the same file."""
     return F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
 

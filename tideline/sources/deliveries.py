@@ -4,6 +4,9 @@ from pyspark.sql import types as T
 
 from tideline.functions.text import is_sha256
 from tideline.functions.timecols import parse_day_first, week_end
+from tideline.operators.normalize import REQUIRED, envelope_violations
+from tideline.session import exists, materialize, qualified
+from tideline.sources.audit_csv import file_fingerprints, plain_path
 
 # Registry schema version, default day of rows whose update time cannot be read, landing prefix.
 REGISTRY_VERSION = 2
@@ -44,7 +47,7 @@ def read_deliveries(spark, paths):
             .withColumn("position", F.monotonically_increasing_id()))
 
 
-def verify_deliveries(files, envelopes, registry, max_rows=None):
+def verify_deliveries(files, envelopes, registry, max_rows=None, keep_all=False):
     """Violations of a delivery against its registry entry: checksum, row count, emptiness.
 
     ``files`` is ``(file, sha256)``, ``registry`` has ``file, sha256, rows``. Any row fails the run.
@@ -58,7 +61,55 @@ def verify_deliveries(files, envelopes, registry, max_rows=None):
         F.when(F.coalesce(F.col("actual") != F.col("expected"), F.lit(True)), F.lit("checksum")),
         F.when(F.col("found_rows") != F.col("rows"), F.lit("row_count")),
         F.when((F.col("found_rows") == 0) | too_many, F.lit("size"))))
-    return joined.withColumn("violations", reasons).filter(F.size("violations") > 0)
+    judged = joined.withColumn("violations", reasons)
+    return judged if keep_all else judged.filter(F.size("violations") > 0)
+
+
+def admit(spark, landing, chosen, max_rows=None):
+    """Rows of the chosen deliveries whose files pass, and the files that do not: ``(envelopes, refused)``.
+
+    ``chosen`` has ``batch_id, key, sha256, rows, available_as_of``; ``key`` is a file under ``landing``. A file is refused as a whole, with all reasons: missing,
+    checksum, row_count, size, envelope (no usable source, row or revision) or required_keys (a record lacks one). A file with another checksum is not
+    opened as a delivery. ``rows`` may be null where it is not known. One row a file reaches the driver.
+    """
+    wanted = [(row["batch_id"], qualified(spark, f"{landing.rstrip('/')}/{row['key']}"), row["sha256"], row["rows"], row["available_as_of"])
+              for row in chosen.select("batch_id", "key", "sha256", "rows", "available_as_of").collect()]
+    entries = spark.createDataFrame(wanted, "batch_id string, file string, sha256 string, rows long, available_as_of string").withColumn("file", plain_path(F.col("file")))
+    present = [row[1] for row in wanted if exists(spark, row[1])]
+    prints = (file_fingerprints(spark, present).select(plain_path(F.col("file")).alias("file"), F.col("source_sha256").alias("sha256")) if present
+              else spark.createDataFrame([], "file string, sha256 string"))
+    prints = materialize(prints, "fingerprints")
+    sound = [row["file"] for row in entries.join(prints, ["file", "sha256"], "left_semi").select("file").collect()]
+    if sound:
+        read = read_deliveries(spark, sound).withColumn("file", plain_path(F.col("file")))
+        envelopes = materialize(read.select("file", *ENVELOPE.names, "position"), "landed")
+    else:
+        envelopes = spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), *ENVELOPE.fields, T.StructField("position", T.LongType())]))
+    refused = file_violations(prints, envelopes, entries, max_rows)
+    admitted = entries.join(refused.select("file"), "file", "left_anti").select("file", "batch_id", "available_as_of")
+    return typed_envelopes(envelopes.join(admitted, "file")), refused
+
+
+def typed_envelopes(rows):
+    """Envelopes of admitted files with typed identity; the record stays VARIANT."""
+    return rows.select("batch_id", "available_as_of", "position", "source_sha256", F.try_variant_get("source_row", "$", "bigint").alias("source_row"),
+                       F.try_variant_get("revision", "$", "int").alias("revision"), "record")
+
+
+def file_violations(files, envelopes, registry, max_rows=None):
+    """``verify_deliveries`` plus what the rows of a file show: envelopes without identity, records without a required key."""
+    present = F.lit(True)
+    for name in REQUIRED:
+        # A key with a JSON null is there; variant_get gives SQL null only for a key that is not.
+        present = present & F.coalesce(F.variant_get("record", f"$.{name}", "variant").isNotNull(), F.lit(False))
+    lacking = envelopes.groupBy("file").agg(F.count_if(~present).alias("lacking"))
+    unidentified = envelope_violations(envelopes).groupBy("file").agg(F.count("*").alias("unidentified"))
+    counted = (verify_deliveries(files, envelopes, registry, max_rows, keep_all=True).join(lacking, "file", "left").join(unidentified, "file", "left"))
+    known = registry.join(files.select("file").distinct().withColumn("found", F.lit(True)), "file", "left").select("file", "found")
+    unread = F.array_contains("violations", "checksum")
+    extra = F.array_compact(F.array(F.when(F.col("unidentified") > 0, F.lit("envelope")), F.when(F.col("lacking") > 0, F.lit("required_keys"))))
+    reasons = F.when(F.col("found").isNull(), F.array(F.lit("missing"))).when(unread, F.array(F.lit("checksum"))).otherwise(F.concat("violations", extra))
+    return counted.join(known, "file").withColumn("violations", reasons).filter(F.size("violations") > 0).select("batch_id", "file", "violations")
 
 
 def registry_violations(registry, schema_version=REGISTRY_VERSION):
