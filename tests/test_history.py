@@ -46,7 +46,7 @@ def test_latest_cycle_gives_the_duration_and_quiet_days_stay(spark):
 
 def test_empty_snapshot_is_an_error(spark):
     events = spark.createDataFrame([event(2, "INC1", "New", at(5))], SCHEMA)
-    with pytest.raises(ValueError, match="No valid events"):
+    with pytest.raises(ValueError, match="No event is visible"):
         hs.require_visible(events, "2016-03-01 00:00:00")
 
 

@@ -58,7 +58,7 @@ def test_identical_source_rows_stay_two_events_and_bad_rows_are_quarantined(spar
 
 
 def test_missing_header_fails_before_reading():
-    with pytest.raises(ValueError, match="missing columns: number"):
+    with pytest.raises(ValueError, match="required names: number"):
         nz.validate_headers([name for name in nz.REQUIRED if name != "number"])
 
 

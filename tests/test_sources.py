@@ -60,7 +60,7 @@ def test_csv_files_keep_their_own_headers_quotes_and_line_breaks(spark, tmp_path
 
 def test_csv_without_required_columns_is_refused(spark, tmp_path):
     (tmp_path / "x.csv").write_text("other\n1\n")
-    with pytest.raises(ValueError, match="missing columns"):
+    with pytest.raises(ValueError, match="required names"):
         audit_csv.read_audit_csv(spark, str(tmp_path / "x.csv"))
 
 

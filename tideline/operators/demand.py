@@ -22,31 +22,50 @@ def daily_demand(requests, time, area, start, end):
 def demand_window(latest_day, today, previous_end=None, days=WINDOW_DAYS):
     """Complete window ``(start, end)``. Refuses a future, stale or regressing source."""
     if latest_day is None:
-        raise ValueError("No recent source observations")
+        raise ValueError("The source has no rows in the window")
     if latest_day > today:
-        raise ValueError("Source contains a future maximum date")
+        raise ValueError("The latest day of the source lies ahead of today")
     end = min(today - timedelta(days=2), latest_day - timedelta(days=1))
     if (today - end).days > 7:
-        raise ValueError("Source is more than seven days behind")
+        raise ValueError("The last complete day is over a week old")
     if previous_end is not None and previous_end > end:
-        raise ValueError("Source cutoff regressed; preserving the previous report")
+        raise ValueError("The window would end before the published one")
     return end - timedelta(days=days - 1), end
 
 
 def latest_day(requests, time):
-    """One value; Parquet answers it from footers with aggregate push-down."""
+    """One value; a scan of one column."""
     return requests.agg(F.max(time)).first()[0].date()
 
 
-def refresh_demand(cached, fresh, named, start, end, today, last_full, keep_from=None, refresh_days=60, full_days=30):
+def coverage_islands(rows, keys=("series",)):
+    """Stretches of consecutive days with rows: ``keys, first_day, last_day, days``. After the distinct, a key has one row a calendar day."""
+    keys = list(keys)
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("day")
+    days = rows.select(*keys, "day").distinct().withColumn("_island", F.date_sub("day", F.row_number().over(order)))
+    return days.groupBy(*keys, "_island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days")).drop("_island")
+
+
+def refused_series(rows, start, end, keys=("series",)):
+    """Series without a row for every day of ``[start, end]``: ``keys, islands, missing_days``. They must not be fitted; a missing day is never read as zero."""
+    inside = rows.filter(F.col("day").between(F.lit(start), F.lit(end)))
+    found = coverage_islands(inside, keys).groupBy(*keys).agg(F.count("*").alias("islands"), F.sum("days").alias("found"))
+    whole = rows.select(*keys).distinct().join(found, list(keys), "left").na.fill(0, ["islands", "found"])
+    return whole.withColumn("missing_days", F.lit((end - start).days + 1) - F.col("found")).filter("missing_days > 0").drop("found")
+
+
+def refresh_demand(cached, fresh, named, start, end, today, last_full, refresh_days=60, full_days=30):
     """Rolling refresh of ``(day, series, value)``: older cached days kept, the last ``refresh_days`` replaced.
 
-    A full rebuild is due when the last one is ``full_days`` old. Cached ``Unknown`` is total minus named areas.
-    Returns ``(demand, full_refresh_date)``.
+    A full rebuild is due when the last one is ``full_days`` old, or when the cache has not every day from ``start`` into the refreshed days.
+    Cached ``Unknown`` is total minus named areas. Returns ``(demand, full_refresh_date)``.
     """
     refresh_from = end - timedelta(days=refresh_days - 1)
     if cached is None or (today - last_full).days >= full_days:
         return fresh, today
+    covering = coverage_islands(cached, ()).filter((F.col("first_day") <= F.lit(start)) & (F.col("last_day") >= F.lit(refresh_from)))
+    if covering.isEmpty():
+        return fresh, today
     kept = cached.filter((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(refresh_from)))
     areas = kept.filter(F.col("series").isin(*named)).select("day", "series", "value")
     unknown = (kept.groupBy("day").agg(

@@ -147,7 +147,7 @@ def _solver(size, penalty, intercept_penalty):
         try:
             solution = np.linalg.solve(matrix, np.stack(xty.to_numpy())[:, :, None])[:, :, 0]
         except np.linalg.LinAlgError:
-            raise ValueError("Singular regression system")
+            raise ValueError("The normal equations have no unique solution")
         return pd.Series(list(solution))
 
     return solve
@@ -162,7 +162,7 @@ def ridge_fits(equations, names=CORE, penalty=PENALTY, intercept_penalty=INTERCE
 def fit(series, origins, ends, prepare=with_features, names=CORE):
     """Ridge fits for all training ends at once. ``prepare`` adds the feature columns to horizon rows."""
     if min(ends) < MIN_TRAINING:
-        raise ValueError("At least 180 training days required")
+        raise ValueError("A fit needs 180 days of training")
     rows = prepare(horizon_rows(training_origins(origins, ends)))
     return ridge_fits(gram(rows, training_scales(series, ends), ends, names), names)
 
@@ -173,7 +173,7 @@ def ridge_prediction(names=CORE):
              for i, name in enumerate(names)]
     total = sum(parts[1:], parts[0])
     bad = F.isnan(total) | (F.abs(total) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("Nonfinite prediction")).cast("double")).otherwise(F.greatest(F.lit(0.0), total))
+    return F.when(bad, F.raise_error(F.lit("A prediction is not a finite number")).cast("double")).otherwise(F.greatest(F.lit(0.0), total))
 
 
 def baseline_predictions(rows):
@@ -184,7 +184,7 @@ def baseline_predictions(rows):
 def blocks(segment, fit_end, start, end, step=HORIZON, low=1, high=HORIZON):
     """Evaluation blocks ``[start, end)``: origins before each block, horizons limited to the range and to ``low..high``."""
     if fit_end > start:
-        raise ValueError("Training overlaps evaluation targets")
+        raise ValueError("Evaluated days lie inside the training range")
     return [(first - 1, segment, fit_end, low, min(high, end - first)) for first in range(start, end, step)
             if min(high, end - first) >= low]
 
@@ -192,7 +192,7 @@ def blocks(segment, fit_end, start, end, step=HORIZON, low=1, high=HORIZON):
 def selection_ends(end):
     start = end - FOLDS * FOLD_DAYS
     if start < MIN_TRAINING:
-        raise ValueError("Selection requires 180 training days and three complete validation windows")
+        raise ValueError("Model choice needs 180 days of training before three whole windows")
     return list(range(start, end, FOLD_DAYS))
 
 
@@ -304,7 +304,7 @@ def band_blocks(end, segment="band"):
     """84 residual days before ``end``, refitted every fortnight."""
     start = end - BAND_DAYS
     if start < MIN_TRAINING:
-        raise ValueError("Calibration requires 180 training days and 84 residual days")
+        raise ValueError("Calibration needs 180 days of training and 84 days of residuals")
     return [b for first in range(start, end, HORIZON) for b in blocks(segment, first, first, first + HORIZON)]
 
 
@@ -382,7 +382,7 @@ def worst_cell(heatmap, keys=("series",)):
 def evaluation_windows(n):
     """Index ranges (inclusive) of the evaluation design of a series of length ``n``."""
     if n < 365:
-        raise ValueError("At least one complete year of daily data required")
+        raise ValueError("The report windows need a whole year of days")
     return (("selection", n - 168, n - 85), ("calibration", n - 84, n - 43), ("test", n - 42, n - 1), ("history", n - 90, n - 1))
 
 

@@ -26,7 +26,7 @@ def is_terminal(column):
 def validate_headers(columns):
     missing = sorted(set(REQUIRED) - set(columns))
     if missing:
-        raise ValueError(f"Source schema is missing columns: {', '.join(missing)}")
+        raise ValueError(f"The header lacks required names: {', '.join(missing)}")
 
 
 def _counter(name):

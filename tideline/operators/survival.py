@@ -352,7 +352,7 @@ def ipcw_brier(rows, survival, keys, censor_curve, by=(), hours=HORIZONS):
     done, alive = F.col("event") & (d <= h), (d > h) | ((d == h) & ~F.col("event"))
     supported = F.col("g_horizon") >= SUPPORT_FLOOR
     s = F.col("survival")
-    unstable = F.when(F.col("g_own") < SUPPORT_FLOOR, F.raise_error(F.lit("Unstable censoring weights")).cast("double"))
+    unstable = F.when(F.col("g_own") < SUPPORT_FLOOR, F.raise_error(F.lit("Too few rows are still observed to weigh this outcome")).cast("double"))
     loss = (F.when(~supported, F.lit(0.0)).when(done, s * s / F.coalesce(unstable, F.col("g_own")))
             .when(alive, (1 - s) * (1 - s) / F.col("g_horizon")).otherwise(F.lit(0.0)))
     # Without keys the survival table has one row per horizon.

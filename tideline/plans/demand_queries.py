@@ -69,9 +69,10 @@ def demand_series(spark, sf_dir):
 
 @query("q_demand_refresh", "WITH " + DEMAND_SQL + """,
 older AS (SELECT l_linestatus AS series, CAST(l_shipdate AS DATE) AS day, count(*) AS value FROM lineitem, bounds
-  WHERE l_shipdate >= first_day AND l_shipdate < last_day + 1 AND l_returnflag <> 'R' GROUP BY 1, 2)
-SELECT day, CASE WHEN series = 'F' THEN 'F' ELSE 'Unknown' END AS series, value FROM older, bounds WHERE day < last_day - 59
-UNION ALL SELECT day, CASE WHEN series = 'F' THEN 'F' ELSE 'Unknown' END, value FROM counted, bounds WHERE day >= last_day - 59""")
+  WHERE l_shipdate >= first_day AND l_shipdate < last_day + 1 AND l_returnflag <> 'R' GROUP BY 1, 2),
+cover AS (SELECT count(DISTINCT day) = any_value(last_day - 59 - first_day) + 1 AS usable FROM older, bounds WHERE day <= last_day - 59)
+SELECT day, CASE WHEN series = 'F' THEN 'F' ELSE 'Unknown' END AS series, value FROM older, bounds, cover WHERE day < last_day - 59 AND usable
+UNION ALL SELECT day, CASE WHEN series = 'F' THEN 'F' ELSE 'Unknown' END, value FROM counted, bounds, cover WHERE day >= last_day - 59 OR NOT usable""")
 def demand_refresh(spark, sf_dir):
     """An older extract (without one return flag) is refreshed for 60 days; ``O`` plays the unnamed area."""
     start, end = window(spark, sf_dir)
@@ -84,6 +85,31 @@ def demand_refresh(spark, sf_dir):
     return dm.refresh_demand(cached, fresh, ["F"], start, end, today, today - timedelta(days=10))[0]
 
 
+FLAGGED_SQL = """flagged AS (SELECT DISTINCT l_returnflag || '-' || CAST(l_linenumber AS VARCHAR) AS series, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+span AS (SELECT min(day) AS a, max(day) AS b FROM flagged)"""
+
+
+def flagged(spark, sf_dir):
+    """Series by return flag and line number: many have days without rows."""
+    name = F.concat_ws("-", "l_returnflag", F.col("l_linenumber").cast("string"))
+    return materialize(lines(spark, sf_dir).select(name.alias("series"), F.to_date(TIME).alias("day")).distinct(), "flagged")
+
+
+@query("q_series_islands", "WITH " + FLAGGED_SQL + """, marked AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY series ORDER BY day) AS INTEGER) AS island FROM flagged)
+SELECT series, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM marked GROUP BY series, island""")
+def series_islands(spark, sf_dir):
+    return dm.coverage_islands(flagged(spark, sf_dir))
+
+
+@query("q_refused_series", "WITH " + FLAGGED_SQL + """, marked AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY series ORDER BY day) AS INTEGER) AS island FROM flagged)
+SELECT series, count(DISTINCT island) AS islands, CAST(any_value(b - a) + 1 - count(*) AS BIGINT) AS missing_days FROM marked, span GROUP BY series HAVING count(*) < any_value(b - a) + 1""")
+def refused_series(spark, sf_dir):
+    """Series that a fit over the whole range refuses, by name."""
+    rows = flagged(spark, sf_dir)
+    span = rows.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    return dm.refused_series(rows, span["a"], span["b"])
+
+
 @query("q_covariate_coverage", "WITH " + DEMAND_SQL + ", " + COVARIATE_SQL + """
 SELECT day, round(CASE WHEN day >= last_day - 35 THEN temperature + 1 ELSE temperature END, 6) AS temperature, round(rain, 6) AS rain,
   false AS missing FROM covariates, bounds WHERE day BETWEEN first_day - 12 AND last_day

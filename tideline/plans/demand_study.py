@@ -92,7 +92,7 @@ class Study:
 def interval_blocks(n):
     """Blocks of four 28-day windows; the segment names kind, window and block as ``kind|window|first``."""
     if n < 500:
-        raise ValueError("At least 500 daily observations required for the four-window study")
+        raise ValueError("The study of four windows needs 500 days or more")
     found = []
     for window, end in enumerate(range(n - 84, n + 1, 28)):
         start = end - 28

@@ -304,3 +304,107 @@ def integrity(spark, sf_dir):
         events, fact, history.incident_history(events, CUTOFF), groups, priorities, dates,
         materialize(reports.summary(events, fact, CUTOFF), "summary"), materialize(reports.group_priority(fact), "groups"),
         history.daily_queue(per_segment, CUTOFF), CUTOFF)
+
+
+# ---- gates over tables with planted faults: every count must be found, none is constant ----------------------------
+
+NUMBER_SQL = "CAST(substr(incident_id, 4) AS BIGINT)"
+
+
+def number():
+    return F.substring("incident_id", 4, 20).cast("bigint")
+
+
+def faulty_dimensions(spark, sf_dir):
+    """Without the group ``Unknown``, the priority ``4 - Low`` and the cutoff's date; one member of each is there twice."""
+    groups, priorities, dates = dimensions(spark, sf_dir)
+    last = F.to_date(F.lit(CUTOFF[:10]))
+    return (groups.filter("assignment_group <> 'Unknown'").unionByName(groups.filter("assignment_group = 'Group 3'")),
+            priorities.filter("priority <> '4 - Low'").unionByName(priorities.filter("priority = '1 - Critical'")),
+            dates.filter(F.col("date") != last).unionByName(dates.filter(F.col("date") == F.date_sub(last, 1))))
+
+
+PLANTED_SQL = "WITH " + SNAPSHOT_SQL + f""", fact AS (SELECT *, {NUMBER_SQL} AS num, CASE WHEN {NUMBER_SQL} % 7 = 0 THEN 2 ELSE 1 END AS m FROM snapshot),
+rows AS (SELECT *, {NUMBER_SQL} AS num FROM seen),
+counts(name, violations) AS (
+  SELECT 'event_identity_unique', (SELECT count(*) FROM audit WHERE (source_row - 2) % 50 = 0)
+  UNION ALL SELECT 'incident_grain_unique', (SELECT count(*) FROM fact WHERE num % 7 = 0)
+  UNION ALL SELECT 'group_dimension_unique', 1 UNION ALL SELECT 'priority_dimension_unique', 1 UNION ALL SELECT 'date_dimension_unique', 1
+  UNION ALL SELECT 'date_foreign_keys_valid', (SELECT sum(m) FROM fact)
+  UNION ALL SELECT 'group_foreign_keys_valid', (SELECT coalesce(sum(m), 0) FROM fact WHERE assignment_group = 'Unknown')
+  UNION ALL SELECT 'priority_foreign_keys_valid', (SELECT coalesce(sum(m), 0) FROM fact WHERE priority = '4 - Low')
+  UNION ALL SELECT 'one_current_history_row', (SELECT count(DISTINCT num) FROM rows WHERE num % 11 = 0)
+  UNION ALL SELECT 'history_intervals_valid', (SELECT count(*) FROM rows WHERE num % 13 = 0 AND rn = 1 AND valid_to IS NOT NULL)
+  UNION ALL SELECT 'nonnegative_durations', (SELECT coalesce(sum(m), 0) FROM fact WHERE num % 17 = 0)
+  UNION ALL SELECT 'no_future_events_in_mart', (SELECT coalesce(sum(m), 0) FROM fact WHERE num % 19 = 0)
+  UNION ALL SELECT 'incident_balance', 1 UNION ALL SELECT 'group_totals_reconcile', 1 UNION ALL SELECT 'last_daily_backlog_reconciles', 1
+  UNION ALL SELECT 'daily_flow_balance', (SELECT count(*) FROM (SELECT unnest(generate_series(greatest((SELECT min(event_date) FROM seen),
+    CAST(TIMESTAMP '{CUTOFF}' AS DATE) - 59), CAST(TIMESTAMP '{CUTOFF}' AS DATE), INTERVAL 1 DAY)) AS date) WHERE day(date) % 2 = 1))
+SELECT name, CAST(violations AS BIGINT) AS violations, violations = 0 AS passed FROM counts"""
+
+
+@query("q_integrity_planted", PLANTED_SQL)
+def integrity_planted(spark, sf_dir):
+    """All sixteen checks over tables with planted faults; each must count exactly those."""
+    events = audit(spark, sf_dir)
+    per_segment = materialize(history.segment_summary(events, CUTOFF), "segments")
+    true_fact = materialize(history.snapshot_keys(history.incident_snapshot(per_segment, CUTOFF), CUTOFF), "snapshot")
+    summary_row = reports.summary(events, true_fact, CUTOFF).withColumns({"incidents": F.col("incidents") + 2, "backlog": F.col("backlog") + 1})
+    daily_rows = history.daily_queue(per_segment, CUTOFF).withColumn("balance_ok", F.dayofmonth("date") % 2 == 0)
+    fact = true_fact.withColumn("resolution_hours", F.when(number() % 17 == 0, F.lit(-1.0)).otherwise(F.col("resolution_hours"))).withColumn(
+        "updated_at", F.when(number() % 19 == 0, F.col("updated_at") + F.expr("INTERVAL 1 YEAR")).otherwise(F.col("updated_at")))
+    fact = materialize(fact.unionByName(fact.filter(number() % 7 == 0)), "fact")
+    intervals = history.incident_history(events, CUTOFF)
+    intervals = intervals.withColumn("is_current", F.col("is_current") & (number() % 11 != 0)).withColumn(
+        "valid_to", F.when((number() % 13 == 0) & (F.col("event_order") == 1) & F.col("valid_to").isNotNull(), F.col("valid_from") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("valid_to")))
+    doubled = events.unionByName(events.filter((F.col("source_row") - 2) % 50 == 0))
+    return star.integrity_checks(doubled, fact, intervals, *faulty_dimensions(spark, sf_dir), materialize(summary_row, "summary"),
+                                 materialize(reports.group_priority(true_fact), "groups"), materialize(daily_rows, "daily"), CUTOFF)
+
+
+@query("q_join_grain_planted", "WITH " + SNAPSHOT_SQL + """, sizes AS (SELECT count(*) AS a,
+  coalesce(sum(CASE WHEN assignment_group <> 'Unknown' AND priority <> '4 - Low' THEN
+    CASE WHEN assignment_group = 'Group 3' THEN 2 ELSE 1 END * CASE WHEN priority = '1 - Critical' THEN 2 ELSE 1 END END), 0) AS b FROM snapshot)
+SELECT a AS stage_rows, CAST(b AS BIGINT) AS fact_rows, a = b AS passed FROM sizes""")
+def join_grain_planted(spark, sf_dir):
+    """Groups and priorities with members missing and doubled change the grain of the fact."""
+    stage = saved_snapshot(spark, sf_dir)
+    groups, priorities, _ = faulty_dimensions(spark, sf_dir)
+    return star.join_grain(stage, star.fact_snapshot(stage, groups, priorities, dimensions(spark, sf_dir)[2]))
+
+
+@query("q_verify_integrity_planted", "WITH " + SNAPSHOT_SQL + f""", fact AS (SELECT *, {NUMBER_SQL} AS num, CASE WHEN {NUMBER_SQL} % 7 = 0 THEN 2 ELSE 1 END AS m FROM snapshot)
+SELECT CAST(sum(m) AS BIGINT) AS snapshot_rows, count(*) AS unique_incidents, CAST(coalesce(sum(m) FILTER (WHERE is_open), 0) AS BIGINT) AS backlog,
+  CAST(coalesce(sum(m) FILTER (WHERE assignment_group = 'Unknown'), 0) AS BIGINT) AS missing_group,
+  CAST(coalesce(sum(m) FILTER (WHERE priority = '4 - Low'), 0) AS BIGINT) AS missing_priority,
+  CAST(coalesce(sum(m) FILTER (WHERE day(opened_at) % 3 = 0), 0) AS BIGINT) AS missing_opened_date,
+  CAST(coalesce(sum(m) FILTER (WHERE num % 17 = 0), 0) AS BIGINT) AS negative_resolution FROM fact""")
+def verify_integrity_planted(spark, sf_dir):
+    """The left-join audit over a fact with doubled incidents and negative durations, and dimensions with members missing."""
+    fact = saved_snapshot(spark, sf_dir).withColumn("resolution_hours", F.when(number() % 17 == 0, F.lit(-1.0)).otherwise(F.col("resolution_hours")))
+    fact = fact.unionByName(fact.filter(number() % 7 == 0))
+    groups, priorities, dates = dimensions(spark, sf_dir)
+    return star.verify_integrity(fact, groups.filter("assignment_group <> 'Unknown'"), priorities.filter("priority <> '4 - Low'"), dates.filter("day % 3 <> 0"))
+
+
+@query("q_queue_reconcile_planted", "WITH " + SNAPSHOT_SQL + """, cells AS (SELECT assignment_group, priority, count(*) AS n FROM snapshot GROUP BY ALL)
+SELECT count(*) FILTER (WHERE priority = '1 - Critical' OR n % 2 = 1) AS only_left, count(*) FILTER (WHERE priority <> '1 - Critical' AND n % 2 = 1) AS only_right,
+  count(*) FILTER (WHERE priority = '1 - Critical' OR n % 2 = 1) = 0 AS passed FROM cells""")
+def queue_reconcile_planted(spark, sf_dir):
+    """The report lacks the critical cells and counts one incident too many in cells of odd size."""
+    groups, priorities, _ = dimensions(spark, sf_dir)
+    fact = saved_snapshot(spark, sf_dir)
+    report = reports.group_priority(fact).filter("priority <> '1 - Critical'").select(
+        F.col("group").alias("group_name"), "priority", (F.col("incidents") + F.col("incidents") % 2).alias("incidents"), F.col("open").alias("open_count"), "reopened", "reassigned")
+    return reports.reconcile(star.aggregate_queue(fact, groups, priorities), report)
+
+
+@query("q_part_parity", "WITH " + SNAPSHOT_SQL + f"""
+SELECT {NUMBER_SQL} % 16 AS part, count(*) AS left_rows, count(*) + count(*) FILTER (WHERE {NUMBER_SQL} % 23 = 0) AS right_rows FROM snapshot
+GROUP BY 1 HAVING count(*) FILTER (WHERE {NUMBER_SQL} % 23 = 0 OR {NUMBER_SQL} % 29 = 0) > 0""")
+def part_parity(spark, sf_dir):
+    """The snapshot from hourly and from six-hour segments, compared part by part by order-free fingerprints; faults are planted in some incidents."""
+    events = audit(spark, sf_dir)
+    left, right = (materialize(history.incident_snapshot(history.segment_summary(events, CUTOFF, hours), CUTOFF), "build").withColumn("part", number() % 16) for hours in (1, 6))
+    right = right.withColumn("state", F.when(number() % 29 == 0, F.lit("New!")).otherwise(F.col("state")))
+    return reports.differing_parts(left, right.unionByName(right.filter(number() % 23 == 0)), ["part"])
