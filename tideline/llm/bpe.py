@@ -1,5 +1,6 @@
 """Byte-level BPE: a minimal perfect hash answers whole pre-tokens of the vocabulary, a heap over linked bytes merges the others."""
 import base64
+import gc
 import heapq
 import itertools
 import struct
@@ -13,8 +14,8 @@ from .registry import query
 
 #: A rank file above this is refused: its tables are broadcast.
 MAX_BYTES = 64 << 20
-#: Pre-tokens that are looked up at once, and merged pre-tokens (and pairs) that a task remembers before it starts anew.
-CHUNK, REMEMBERED = 200_000, 400_000
+#: Pre-tokens that are looked up at once, and merged pre-tokens (and pairs) that a worker remembers before it sets them aside for new ones.
+CHUNK, REMEMBERED = 500_000, 300_000
 #: Keys a bucket of the perfect hash holds on average.
 LOAD = 3
 #: Above every rank: two neighbours that make no token.
@@ -23,6 +24,10 @@ NONE = 1 << 31
 _STEP, _SPREAD, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
+#: Links of short pre-tokens, copied for each.
+_AFTER, _BEFORE = list(range(1, 65)), list(range(-1, 63))
+
+
 def _halves(keys):
     """128 bits of hash of every key, as two uint64 arrays."""
     import xxhash
@@ -120,8 +125,11 @@ class Vocabulary:
         self.shifts, self.tokens, self.ids = shifts, tokens, ids
         self.by_id = dict(zip(ids.tolist(), tokens, strict=True))
         self.shift_list, self.id_list = shifts.tolist(), ids.tolist()
-        self.merged, self.pairs = {}, Pairs(self)
+        self.merged, self.older, self.pairs = {}, {}, Pairs(self)
         self.single = self.find([bytes([b]) for b in range(256)]).tolist()
+        #: Where the bytes' own ids are bytes too, one call gives them.
+        self.low = bytes(self.single) if max(self.single) < 256 else None
+        self.byte_pairs = [[self.pairs[a << 32 | b] for b in self.single] for a in self.single]
 
     def find(self, keys):
         """Ids of byte strings; -1 for those that are no tokens."""
@@ -144,32 +152,36 @@ class Vocabulary:
 
     def merge(self, piece):
         """Ids of a pre-token: always the pair of lowest rank is joined, the leftmost of equals. Heap entries are rank << 32 | place."""
-        ids, pairs = [self.single[b] for b in piece], self.pairs
-        end = len(ids)
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        rank = [pairs[left << 32 | right] for left, right in itertools.pairwise(ids)]
+        pairs, push, pop, byte_pairs = self.pairs, heapq.heappush, heapq.heappop, self.byte_pairs
+        rank = [byte_pairs[a][b] for a, b in itertools.pairwise(piece)]
         heap = [r << 32 | i for i, r in enumerate(rank) if r < NONE]
+        ids = list(piece.translate(self.low)) if self.low else [self.single[b] for b in piece]
+        if not heap:
+            return ids
+        end = len(ids)
         rank.append(NONE)
+        after, before = (_AFTER[:end], _BEFORE[:end]) if end <= len(_AFTER) else (list(range(1, end + 1)), list(range(-1, end - 1)))
         heapq.heapify(heap)
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             i, joined = top & 0xFFFFFFFF, top >> 32
             if rank[i] != joined:
                 continue
             j = after[i]
             k = after[i] = after[j]
             ids[i], ids[j], rank[j] = joined, -1, NONE
-            rank[i] = NONE
             if k < end:
                 before[k] = i
                 rank[i] = r = pairs[joined << 32 | ids[k]]
                 if r < NONE:
-                    heapq.heappush(heap, r << 32 | i)
-            h = before[i]
-            if h >= 0:
+                    push(heap, r << 32 | i)
+            else:
+                rank[i] = NONE
+            if i:
+                h = before[i]
                 rank[h] = r = pairs[ids[h] << 32 | joined]
                 if r < NONE:
-                    heapq.heappush(heap, r << 32 | h)
+                    push(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, pieces):
@@ -180,14 +192,14 @@ class Vocabulary:
         whole = self.find(keys) if keys else np.zeros(0, np.int64)
         lists = [[x] for x in whole.tolist()]
         for k in np.flatnonzero(whole < 0).tolist():
-            known = self.merged.get(keys[k])
+            known = self.merged.get(keys[k]) or self.older.get(keys[k])
             if known is None:
                 known = self.merge(keys[k])
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
                 if len(keys[k]) <= 64:
                     self.merged[keys[k]] = known
             lists[k] = known
+        if len(self.merged) >= REMEMBERED:
+            self.merged, self.older = {}, self.merged
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         pool = np.fromiter(itertools.chain.from_iterable(lists), np.int32, sizes.sum())
         counts = sizes[codes]
@@ -199,8 +211,8 @@ def _chunks(texts, pattern):
     """Lists of ``(row, pre-token)`` in order, about ``CHUNK`` at a time, however long a text is: rows and pre-tokens as two lists."""
     rows, pieces = [], []
     for row, text in enumerate(texts):
-        found = pattern.finditer(text)
-        while part := [m[0] for m in itertools.islice(found, CHUNK)]:
+        found = (m[0] for m in pattern.finditer(text)) if len(text) > CHUNK else iter(pattern.findall(text))
+        while part := list(itertools.islice(found, CHUNK)):
             pieces += part
             rows.append((row, len(part)))
             if len(pieces) >= CHUNK:
@@ -209,6 +221,20 @@ def _chunks(texts, pattern):
     yield rows, pieces
 
 
+def coded(batch, words, pattern, pa):
+    """An Arrow batch of (doc_id, text) with ids in place of texts."""
+    texts, parts = batch.column(1).to_pylist(), []
+    sizes = np.zeros(len(texts), np.int64)
+    for rows, pieces in _chunks(texts, pattern):
+        ids, counts = words.encode(pieces)
+        parts.append(ids)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0] + [n for _, n in rows])]
+        np.add.at(sizes, [row for row, _ in rows], np.diff(ends))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+    return pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+
+
 def encode(docs, vocabulary, pattern, column="text"):
     """``doc_id, ids``: token ids of the whole text of every row, without special tokens. ``vocabulary`` is the path of a rank file.
 
@@ -224,17 +250,12 @@ def encode(docs, vocabulary, pattern, column="text"):
         import pyarrow as pa
         import regex
         words, cut = Vocabulary(**shared.value), regex.compile(pattern)
-        for batch in batches:
-            texts, parts = batch.column(1).to_pylist(), []
-            sizes = np.zeros(len(texts), np.int64)
-            for rows, pieces in _chunks(texts, cut):
-                ids, counts = words.encode(pieces)
-                parts.append(ids)
-                ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0] + [n for _, n in rows])]
-                np.add.at(sizes, [row for row, _ in rows], np.diff(ends))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+        # No cycles are made here; collections would only walk the remembered pre-tokens over and over.
+        gc.disable()
+        try:
+            yield from (coded(batch, words, cut, pa) for batch in batches)
+        finally:
+            gc.enable()
 
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
 
