@@ -80,3 +80,13 @@ def test_url_rows(spark):
                           ("8", "net", "/es/1", "net/es/", "block"), ("None", "badexample.com", "/en/1", "com/", "allow")])
     assert urlfilter.judge(pages.where("false"), rules).count() == 0
     assert urlfilter.judge(pages, rules.where("false")).where("rule is null").count() == len(rows)
+
+
+def test_mixing_hands_on_columns_of_any_name(spark):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], 1, 2, 3, 4, 5, 6.0) for i in range(200)] + [(None, f"{i} x", None, 1, 2, 3, 4, 5, 6.0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rest int, cut int, pattern int, bucket int, ordinal int, target double")
+    out = mixing.mix(docs, F.array("source")).collect()
+    assert len(out) == 250 and {(r.rest, r.cut, r.pattern, r.bucket, r.ordinal) for r in out} == {(1, 2, 3, 4, 5)}
+    for source in ("a", "b", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1 and all(0 <= r.taken <= 2 * r.size for r in mine)

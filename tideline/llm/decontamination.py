@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against every window of every text."""
 from pyspark.sql import functions as F
 
-from .common import literal_array, lower_ascii, read_table, text_or_empty
+from .common import literal_array, lower_ascii, read_table, stored, text_or_empty
 from .registry import query
 
 NGRAM = 13
@@ -74,8 +74,11 @@ def find_hits(docs, benchmark, n=NGRAM, broadcast_windows=BROADCAST_WINDOWS):
 
 
 def decontaminate(docs, benchmark, n=NGRAM):
-    """The rows of ``docs`` without contaminated documents, all columns kept. A null doc_id is judged like any other."""
-    bad = find_hits(docs, benchmark, n).where("contaminated").selectExpr("doc_id as bad_id_", "digest as bad_digest_").distinct()
+    """The rows of ``docs`` without contaminated documents, all columns kept. A null doc_id is judged like any other.
+
+    Contaminated ids are stored first: the planner then knows their true size, and rows stay in place unless there are many.
+    """
+    bad = stored(find_hits(docs, benchmark, n).where("contaminated").selectExpr("doc_id as bad_id_", "digest as bad_digest_").distinct(), "contaminated")
     here = docs.withColumn("digest_", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("bad_id_")) & (F.col("digest_") == F.col("bad_digest_"))
     return here.join(bad, same, "left_anti").drop("digest_")

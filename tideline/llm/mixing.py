@@ -97,37 +97,51 @@ def route(patterns, quotas, repeats=REPEATS):
     return flow
 
 
-def select(docs, budget, seed=7, buckets=BUCKETS):
-    """``docs`` (``size, pattern`` and an id) plus ``taken``: each pattern's documents in seeded order, in rounds of all, until its budget of words is met.
+def cuts(docs, budget):
+    """One row per pattern: whole rounds for all its documents, and the bucket in which the rest of its budget ends with what is left there."""
+    before = Window.partitionBy("mix_pattern_").orderBy("mix_bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy("mix_pattern_", "mix_bucket_").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(budget, "mix_pattern_")
+    sums = sums.withColumn("rounds", F.expr("if(total = 0, 0, budget div total)")).withColumn("left", F.expr("budget - rounds * total - before"))
+    end = F.min(F.when(F.col("left") < F.col("words"), F.struct(F.col("mix_bucket_").alias("bucket"), F.greatest("left", F.lit(0)).alias("left"))))
+    found = sums.groupBy("mix_pattern_").agg(F.max("rounds").alias("mix_rounds_"), end.alias("end"))
+    return found.select("mix_pattern_", "mix_rounds_", F.col("end.bucket").alias("mix_end_"), F.coalesce("end.left", F.lit(0)).alias("mix_left_"))
+
+
+def select(docs, budget):
+    """``docs`` (``size`` and the columns of ``mix``) plus ``taken``: each pattern's documents in seeded order, in rounds of all, until its budget of words is met.
 
     Whole rounds go to all documents, the last round to those first in the seeded order; the last of them gives its leading words only, so budgets
-    are met exactly. Words are counted by bucket first and by document only in the bucket where the budget ends: no window holds a whole pattern.
+    are met exactly. Words are counted by bucket; where a budget ends is one row a pattern and broadcast (patterns are bounded). Only documents of
+    these buckets are exchanged and ordered one by one. The seeded order is a hash of id and text, so rows without id are spread like others.
     """
-    pattern = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = docs.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(pattern), F.lit(0)))
-    sums = sums.join(budget, "pattern").withColumn("rounds", F.expr("if(total = 0, 0, budget div total)"))
-    sums = sums.withColumn("rest", F.expr("budget - rounds * total - before"))
-    sums = sums.select("pattern", "bucket", "rounds", "rest", F.expr("rest > 0 and rest < words").alias("cut"))
-    joined = docs.join(sums, ["pattern", "bucket"], "left")
-    whole = joined.where("not coalesce(cut, false)").withColumn("taken", F.expr("coalesce(size * (rounds + if(rest > 0, 1, 0)), 0)"))
-    inside = Window.partitionBy("pattern", "bucket").orderBy("ordinal", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.where("cut").withColumn("done", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    part = part.withColumn("taken", F.expr("size * rounds + greatest(0, least(size, rest - done))"))
+    placed = docs.join(F.broadcast(cuts(docs, budget)), "mix_pattern_")
+    ends = (F.col("mix_bucket_") == F.coalesce("mix_end_", F.lit(-1))) & (F.col("mix_left_") > 0)
+    again = F.coalesce(F.col("mix_bucket_") < F.col("mix_end_"), F.lit(True)).cast("long")
+    whole = placed.where(~ends).withColumn("taken", F.col("size") * (F.col("mix_rounds_") + again))
+    inside = Window.partitionBy("mix_pattern_").orderBy("mix_ordinal_", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    part = placed.where(ends).withColumn("mix_done_", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    part = part.withColumn("taken", F.expr("size * mix_rounds_ + greatest(0, least(size, mix_left_ - mix_done_))"))
     return whole.select(*docs.columns, "taken").unionByName(part.select(*docs.columns, "taken"))
 
 
+OUTPUTS = ("size", "source_size", "target", "taken")
+
+
 def mix(docs, members, weights=WEIGHTS, share=SHARE, repeats=REPEATS, seed=7, max_patterns=MAX_PATTERNS):
     """The rows of ``docs`` plus ``size, source_size, target, taken``; ``members`` is a column with the array of sources a document belongs to.
 
     Sources go by code point, null last. ``source_size`` and ``target`` are sums over the sources of a document; a document of several sources counts
     in full for each of them, and its words go where the flow sends them. Texts without words (null, blank) have size 0 and give nothing. An
-    empty table gives an empty result. Rows that repeat a doc_id are documents of their own.
+    empty table gives an empty result. Rows that repeat a doc_id are documents of their own. Columns of ``docs`` named like the four results are replaced by
+    them, all others are handed on, whatever their names; names that start with ``mix_`` and end with ``_`` are reserved.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"size": word_count(), "pattern": F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"}),
-                              "ordinal": F.expr(f"xxhash64(doc_id, {seed})")}).withColumn("bucket", F.pmod("ordinal", F.lit(BUCKETS)))
-    narrow = stored(sized.groupBy("pattern").agg(F.sum("size").alias("total"), F.first(F.array_sort(F.array_distinct(members))).alias("names")), "patterns")
+    kept = [name for name in docs.columns if name not in OUTPUTS]
+    sized = docs.select(*kept, word_count().alias("size"), F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"}).alias("mix_pattern_"),
+                        F.array_sort(F.array_distinct(members)).alias("mix_names_"), F.expr(f"xxhash64(doc_id, text, {seed})").alias("mix_ordinal_"))
+    sized = sized.withColumn("mix_bucket_", F.pmod("mix_ordinal_", F.lit(BUCKETS)))
+    narrow = stored(sized.groupBy("mix_pattern_").agg(F.sum("size").alias("total"), F.first("mix_names_").alias("names")), "patterns")
     found = narrow.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"the documents have more than {max_patterns} membership patterns; name coarser sources")
@@ -142,10 +156,10 @@ def mix(docs, members, weights=WEIGHTS, share=SHARE, repeats=REPEATS, seed=7, ma
     budget = {tuple(row.names): 0 for row in found}
     for (names, _), words in flow.items():
         budget[names] += words
-    rows = [(row.pattern, row.total, budget[tuple(row.names)], sum(of_source[s] for s in row.names), float(sum(target[s] for s in row.names))) for row in found]
-    plan = spark.createDataFrame(rows, "pattern string, total long, budget long, source_size long, target double")
-    chosen = select(sized, F.broadcast(plan.select("pattern", "total", "budget")), seed)
-    return chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern").drop("pattern", "ordinal", "bucket")
+    rows = [(row.mix_pattern_, row.total, budget[tuple(row.names)], sum(of_source[s] for s in row.names), float(sum(target[s] for s in row.names))) for row in found]
+    plan = spark.createDataFrame(rows, "mix_pattern_ string, total long, budget long, source_size long, target double")
+    chosen = select(sized.drop("mix_names_"), F.broadcast(plan.select("mix_pattern_", "total", "budget")))
+    return chosen.join(F.broadcast(plan.select("mix_pattern_", "source_size", "target")), "mix_pattern_").select(*kept, *OUTPUTS)
 
 
 #: The targets alone, for tests: what is selected follows a seeded hash.
