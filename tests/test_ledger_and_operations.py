@@ -40,6 +40,10 @@ def test_actuals_freeze_once_mature(spark):
     assert sorted(r["value"] for r in later.collect()) == [0, 107, 108]
     assert ld.pending(issued, CUTOFF).count() == 1
     assert ld.score_ledger(issued, frozen, CUTOFF).count() == 2
+    first = ld.freeze_actuals(None, issued, actuals, CUTOFF, "monday", "aa")
+    second = ld.freeze_actuals(first, issued, actuals, CUTOFF + timedelta(days=1), "tuesday", "bb").collect()
+    assert sorted((r["value"], r["observed_at"], r["source_sha256"]) for r in second) == [(106, "tuesday", "bb"), (107, "monday", "aa"), (108, "monday", "aa")]
+    assert ld.freeze_actuals(first, issued.limit(0), actuals, CUTOFF + timedelta(days=113), "later", "cc").count() == 1
 
 
 def scored(spark, rows_per_day, hits, version="v1"):
@@ -48,6 +52,13 @@ def scored(spark, rows_per_day, hits, version="v1"):
     return spark.createDataFrame(rows, "series string, target date, lead_days int, actual int, prediction int, lower int, upper int, version string")
 
 
+def test_every_series_has_all_lead_bands(spark):
+    frame = scored(spark, 2, 2)
+    members = spark.createDataFrame([("s",), ("silent",)], "series string")
+    found = {(r["series"], r["lead"]): (r["predictions"], r["wape_pct"]) for r in ld.by_lead(frame, members).collect()}
+    assert found == {("s", "1–3"): (28, 0.0), **{(s, b): (0, None) for s, b in (("s", "4–7"), ("s", "8–14"), ("silent", "1–3"), ("silent", "4–7"), ("silent", "8–14"))}}
+
+
 @pytest.mark.parametrize("rows, hits, status", [(1, 1, "Collecting outcomes"), (2, 2, "Monitoring"), (2, 1, "Undercoverage warning")])
 def test_cohort_status(spark, rows, hits, status):
     frame = scored(spark, rows, hits)

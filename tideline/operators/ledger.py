@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timecols import local_date
 from tideline.operators.demand import demand_shift
-from tideline.operators.forecast import interval_score, lead_band
+from tideline.operators.forecast import LEAD_BANDS, interval_score, lead_band
 
 RETAIN_DAYS = 120
 MATURE_DAYS = 7
@@ -44,12 +44,18 @@ def pending(issues, cutoff):
     return issues.filter(F.col("target") > mature_until(cutoff))
 
 
-def freeze_actuals(frozen, issues, actuals, cutoff):
-    """Frozen outcomes plus newly mature ones; a value once frozen never changes."""
+def freeze_actuals(frozen, issues, actuals, cutoff, observed_at=None, source_sha256=None):
+    """Frozen outcomes plus newly mature ones, with the time and source of their observation; a value once frozen never changes.
+
+    ``frozen`` is None before the first run. Outcomes of targets older than the ledger keeps are let go.
+    """
     wanted = issues.filter(F.col("target") <= mature_until(cutoff)).select("series", "target").distinct()
-    new = (actuals.select("series", F.col("day").alias("target"), "value").join(wanted, ["series", "target"], "left_semi")
-           .join(frozen.select("series", "target"), ["series", "target"], "left_anti"))
-    return frozen.select("series", "target", "value").unionByName(new)
+    new = actuals.select("series", F.col("day").alias("target"), "value").join(wanted, ["series", "target"], "left_semi").withColumns(
+        {"observed_at": F.lit(observed_at).cast("string"), "source_sha256": F.lit(source_sha256).cast("string")})
+    if frozen is None:
+        return retain(new, cutoff, "target")
+    new = new.join(frozen.select("series", "target"), ["series", "target"], "left_anti")
+    return retain(frozen.unionByName(new, allowMissingColumns=True), cutoff, "target")
 
 
 def score_ledger(issues, frozen, cutoff):
@@ -100,10 +106,14 @@ def weekly(scored):
                                        (100 * F.sum("hit") / F.sum("n")).alias("coverage_pct")))
 
 
-def by_lead(scored):
+def by_lead(scored, members=None):
+    """Count and WAPE per series and band of lead days. Every series of ``members`` (those scored, unless given) has all bands, empty ones with a count of 0."""
     a = F.col("actual")
-    return (scored.withColumn("lead", lead_band(F.col("lead_days"))).filter(F.col("lead").isNotNull()).groupBy("series", "lead").agg(
+    found = (scored.withColumn("lead", lead_band(F.col("lead_days"))).filter(F.col("lead").isNotNull()).groupBy("series", "lead").agg(
         F.count("*").alias("predictions"), (100 * F.sum(F.abs(F.col("prediction") - a)) / F.nullif(F.sum(a), F.lit(0))).alias("wape_pct")))
+    bands = F.explode(F.array(*[F.lit(f"{low}–{high}") for low, high in LEAD_BANDS])).alias("lead")
+    grid = (scored if members is None else members).select("series").distinct().select("series", bands)
+    return grid.join(found, ["series", "lead"], "left").na.fill(0, ["predictions"])
 
 
 def candidate_wape(scored):
@@ -129,7 +139,7 @@ def shadow_bands(scored, waiting):
             .join(waits, ["series", "method"], "left").na.fill(0, ["awaiting_mature_actuals", "predictions", "distinct_target_dates"]))
 
 
-def monitor(issues, frozen, series, cutoff, n, current_version=None):
+def monitor(issues, frozen, series, cutoff, n):
     """One row per series: recent cohort, demand shift and both warnings."""
     scored = recent(score_ledger(issues, frozen, cutoff), cutoff)
     rows = cohorts(scored, pending(issues, cutoff), series.select("series"), ["series"])

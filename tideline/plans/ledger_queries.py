@@ -72,22 +72,23 @@ def issue_ledger(spark, sf_dir):
     return ld.retain(state, cutoff).select("series", "target", "issued_date", "lead_days", "prediction")
 
 
-@query("q_freeze_actuals", "WITH " + ISSUED_SQL + """ SELECT DISTINCT i.series, i.target, CASE WHEN i.target <= last_day - 60 THEN d.value + 5 ELSE d.value END AS value
-FROM issues i JOIN demand d ON d.series = i.series AND d.day = i.target, bounds b WHERE i.target <= b.last_day - 7""".replace("issues i JOIN", "(SELECT series, target FROM issues) i JOIN"))
+@query("q_freeze_actuals", "WITH " + ISSUED_SQL + """ SELECT DISTINCT i.series, i.target, d.value + 5 AS value, 'first run' AS observed_at, repeat('a', 64) AS source_sha256
+FROM issued i JOIN demand d ON d.series = i.series AND d.day = i.target, bounds b WHERE i.target BETWEEN b.last_day - 120 AND b.last_day - 60
+UNION ALL SELECT DISTINCT i.series, i.target, d.value, 'second run', repeat('b', 64)
+FROM (SELECT series, target FROM issues) i JOIN demand d ON d.series = i.series AND d.day = i.target, bounds b WHERE i.target > b.last_day - 60 AND i.target <= b.last_day - 7""")
 def freeze_actuals(spark, sf_dir):
-    """Outcomes frozen earlier (with other values) must survive; newly mature ones are added."""
+    """Outcomes frozen earlier (with other values, of all issues) survive as far as the ledger keeps them; newly mature ones are added with their own source."""
     series, cutoff = series_and_cutoff(spark, sf_dir)
-    kept = issues(series, cutoff)
-    old = kept.filter(F.col("target") <= F.lit(cutoff - timedelta(days=60)))
-    frozen = ld.freeze_actuals(series.limit(0).select("series", F.col("day").alias("target"), "value"), old,
-                               series.withColumn("value", F.col("value") + 5), cutoff)
-    return ld.freeze_actuals(materialize(frozen, "frozen"), kept, series, cutoff)
+    every = ld.issuance(issued_rows(series))
+    old = every.filter(F.col("target") <= F.lit(cutoff - timedelta(days=60)))
+    frozen = ld.freeze_actuals(None, old, series.withColumn("value", F.col("value") + 5), cutoff, "first run", "a" * 64)
+    return ld.freeze_actuals(materialize(frozen, "frozen"), ld.retain(every, cutoff), series, cutoff, "second run", "b" * 64)
 
 
 def ledger_state(spark, sf_dir):
     series, cutoff = series_and_cutoff(spark, sf_dir)
     kept = materialize(issues(series, cutoff), "issues")
-    frozen = materialize(ld.freeze_actuals(series.limit(0).select("series", F.col("day").alias("target"), "value"), kept, series, cutoff), "frozen")
+    frozen = materialize(ld.freeze_actuals(None, kept, series, cutoff), "frozen")
     return series, cutoff, kept, frozen
 
 
@@ -152,10 +153,14 @@ def monitor_weekly(spark, sf_dir):
     return rounded(ld.weekly(recent(spark, sf_dir)))
 
 
-@query("q_monitor_lead", "WITH " + ISSUED_SQL + """ SELECT series, CASE WHEN lead_days <= 3 THEN '1–3' WHEN lead_days <= 7 THEN '4–7' ELSE '8–14' END AS lead, count(*) AS predictions,
-  round(100 * sum(abs(prediction - actual)) / nullif(sum(actual), 0), 6) AS wape_pct FROM recent WHERE lead_days <= 14 GROUP BY 1, 2""")
+@query("q_monitor_lead", "WITH " + ISSUED_SQL + """, grid AS (SELECT DISTINCT series, a, b, lead FROM demand, (VALUES (1, 3, '1–3'), (4, 7, '4–7'), (8, 14, '8–14')) t(a, b, lead)),
+short AS (SELECT * FROM recent WHERE lead_days <= 7 OR series = 'F')
+SELECT g.series, lead, count(r.target) AS predictions, round(100 * sum(abs(prediction - actual)) / nullif(sum(actual), 0), 6) AS wape_pct
+FROM grid g LEFT JOIN short r ON r.series = g.series AND r.lead_days BETWEEN a AND b GROUP BY 1, 2""")
 def monitor_lead(spark, sf_dir):
-    return rounded(ld.by_lead(recent(spark, sf_dir)))
+    """Only one series has predictions of the longest band here; the others show it empty."""
+    rows = recent(spark, sf_dir).filter("lead_days <= 7 OR series = 'F'")
+    return rounded(ld.by_lead(rows, dense(spark, sf_dir)))
 
 
 @query("q_candidate_wape", "WITH " + ISSUED_SQL + """, long AS (SELECT series, 'same_weekday' AS candidate, same_weekday AS p, actual FROM recent
