@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import fingerprints, licenses, mixing, neardup, passages, quality, queries, secretscan, suffixes, urlfilter, winnow
+from tideline.llm import common, fingerprints, licenses, mixing, neardup, passages, quality, queries, secretscan, suffixes, urlfilter, winnow
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,6 +187,47 @@ def test_texts_that_differ_in_repetition_only_are_near(spark):
     assert {r.doc_id: r.class_id for r in done.collect()} == want and len(set(want.values())) == 40
 
 
+def shuffled_bytes(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(file.stat().st_size for folder in manager.localDirsString() for file in Path(folder).rglob("shuffle_*.data"))
+
+
+@pytest.mark.parametrize("group", [400, 4])
+@pytest.mark.parametrize("operator", [neardup.near_classes])
+def test_only_texts_of_candidates_are_exchanged(spark, operator, group):
+    draw = random.Random(3)
+    texts = {i: " ".join(f"{draw.getrandbits(64):x}" for _ in range(2000)) for i in range(150)}
+    texts |= {200 + i: texts[7] + f" x{i}" for i in range(12)} | {300: texts[9]}
+    docs = common.stored(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), "test")
+    kept, broadcast = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(kept, "-1")
+    try:
+        before = shuffled_bytes(spark)
+        out = operator(docs, group=group).collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set(kept, broadcast)
+    if operator is neardup.near_classes:
+        assert {r.doc_id: r.class_id for r in out} == {i: 7 if 200 <= i < 300 else 9 if i == 300 else i for i in texts}
+    else:
+        assert sorted(map(tuple, out)) == [(i, texts[i]) for i in range(150)]
+    one_time = sum(map(len, texts.values()))
+    assert moved < one_time / 2
+
+
+def test_a_sieve_lets_every_key_through(spark):
+    rows = spark.range(3000).selectExpr("if(id % 100 = 0, null, cast(id as int)) as id", "id as name")
+    keys = spark.createDataFrame([(i,) for i in range(1, 3000, 7)] + [(None,), (99999,)], "id long")
+    for most in (1 << 25, 64):
+        perhaps, rest = common.sieved(rows, keys, "id", most)
+        perhaps, rest = {r.name for r in perhaps.collect()}, {r.name for r in rest.collect()}
+        assert not perhaps & rest and perhaps | rest == set(range(3000))
+        assert {i for i in range(1, 3000, 7) if i % 100} <= perhaps
+        assert most == 64 or len(rest) > 2000
+    perhaps, rest = common.sieved(rows, keys.where("false"), "id")
+    assert perhaps.count() == 0 and rest.count() == 3000
+
+
 def test_unlike_texts_with_one_id_stay(spark):
     one, two, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     rows = [(1, two, "x"), (1, one, "y"), (1, one, "y"), (2, other, "z"), (3, one + " end", "v"), (2, two, "w"), (None, one, "n")]

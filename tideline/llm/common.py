@@ -31,6 +31,21 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieved(df, keys, column, most=1 << 25):
+    """The rows of ``df`` whose ``column`` may be among ``keys``, and those for which it is not. Nothing is exchanged.
+
+    A bit set over hashes of the keys, of 16 to 32 bits a key and at most ``most``, is one row and broadcast. All rows with one of the keys are in the first
+    part, with about one other row in 16 or fewer (more where ``most`` binds); an exact join is then needed for that part alone. ``keys`` is read twice: store it.
+    """
+    size = min(most, 1 << max(12, (16 * keys.count() - 1).bit_length()))
+    place = f"pmod(xxhash64(cast(`{column}` as {keys.schema[column].dataType.simpleString()})), {size})"
+    masks = keys.selectExpr(f"{place} as bit").groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+    every = df.sparkSession.range(size // 64).withColumnRenamed("id", "at").join(masks, "at", "left").select("at", F.coalesce("mask", F.lit(0)).alias("mask"))
+    bits = every.agg(F.sort_array(F.collect_list(F.struct("at", "mask"))).alias("masks")).select(F.transform("masks", lambda x: x["mask"]).alias("sieve_"))
+    bits, found = F.broadcast(stored(bits, "sieve")), F.expr(f"getbit(get(sieve_, cast({place} div 64 as int)), cast({place} % 64 as int)) = 1")
+    return df.join(bits, found, "left_semi"), df.join(bits, found, "left_anti")
+
+
 def bound_batches(spark, size="8m", rows=2000):
     """Keep Arrow batches small, whatever the length of a text: Python workers then hold a few MB at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

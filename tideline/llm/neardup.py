@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import bound_batches, read_table, stored
+from .common import bound_batches, read_table, sieved, stored
 from .passages import table
 from .registry import query
 
@@ -193,7 +193,7 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     another text are compared as texts of their own and share their id's class. A null doc_id takes part in no comparison: its class is null.
     Candidates come from the bands; in groups of candidates of at most ``group`` texts all pairs are verified. Larger ones are first dealt
     into parts of that size in several orders, in each of which texts with a common band key lie together. Where the texts of a band key are not all
-    connected after that, those outside its main part are compared with all of its texts, in blocks.
+    connected after that, those outside its main part are compared with all of its texts, in blocks. Only texts of candidates (and few others) are exchanged.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -213,8 +213,9 @@ def near_classes(docs, group=GROUP, orders=ORDERS):
     many = stored(own.where(f"n > {group}"), "large")
 
     def links_of(placed):
-        members = placed.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
-        with_text = docs.join(members, "doc_id").select("doc_id", "text", F.explode("parts").alias("part"))
+        members = stored(placed.groupBy("doc_id").agg(F.collect_set("part").alias("parts")), "members")
+        needed, _ = sieved(docs, members, "doc_id")
+        with_text = needed.join(members, "doc_id").select("doc_id", "text", F.explode("parts").alias("part"))
         return stored(verified_links(with_text.select(F.to_json("part").alias("part"), "doc_id", "text")), "verified")
 
     links = links_of(small.unionByName(deal(many, group, orders)))
