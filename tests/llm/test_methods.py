@@ -193,7 +193,7 @@ def shuffled_bytes(spark):
 
 
 @pytest.mark.parametrize("group", [400, 4])
-@pytest.mark.parametrize("operator", [neardup.near_classes])
+@pytest.mark.parametrize("operator", [neardup.near_classes, neardup.deduplicate])
 def test_only_texts_of_candidates_are_exchanged(spark, operator, group):
     draw = random.Random(3)
     texts = {i: " ".join(f"{draw.getrandbits(64):x}" for _ in range(2000)) for i in range(150)}
@@ -228,6 +228,14 @@ def test_a_sieve_lets_every_key_through(spark):
     assert perhaps.count() == 0 and rest.count() == 3000
 
 
+def test_of_rows_with_one_id_the_smallest_text_stays(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    rows = [(5, long + " z", "a"), (5, long + " b", "b"), (5, long + " b", "c"), (6, long, "d"), (7, None, "e"), (7, " ", "f"), (8, "", "g"), (9, "alone", "h"), (None, long, "i")]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, long), (5, long + " b"), (7, ""), (9, "alone")]
+    assert {r.name for r in out} - {"b", "c"} == {"e", "h", "i"}
+
+
 def test_unlike_texts_with_one_id_stay(spark):
     one, two, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     rows = [(1, two, "x"), (1, one, "y"), (1, one, "y"), (2, other, "z"), (3, one + " end", "v"), (2, two, "w"), (None, one, "n")]

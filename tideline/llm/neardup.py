@@ -264,14 +264,20 @@ def deduplicate(docs, **options):
     """The rows of ``docs`` that stand for their class: of each class the smallest doc_id, all columns kept. Rows without doc_id stay.
 
     Rows are numbered and compared as texts of their own, whatever their doc_id, so unlike texts with one doc_id all stay. Of several rows of a class with
-    its smallest doc_id, the one with the smallest text stays.
+    its smallest doc_id, the one with the smallest text stays. Texts are compared for such ties only, and rows are exchanged only if they may be gone.
     """
     rows = stored(docs.where("doc_id is not null").withColumn("row_", F.monotonically_increasing_id()), "rows")
     classes = near_classes(rows.select(F.col("row_").alias("doc_id"), "text"), **options).where("class_size > 1").select(F.col("doc_id").alias("row_"), "class_id")
-    shared = stored(classes, "classes")
-    best = rows.select("row_", "doc_id", "text").join(shared, "row_").groupBy("class_id").agg(F.min(F.struct("doc_id", "text", "row_")).alias("best"))
-    gone = shared.join(best.select(F.col("best.row_").alias("row_")), "row_", "left_anti").select("row_")
-    return rows.join(gone, "row_", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    shared = stored(rows.select("row_", "doc_id").join(classes, "row_"), "classes")
+    first = shared.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
+    heads = stored(shared.join(first, ["class_id", "doc_id"]).select("class_id", "row_"), "heads")
+    number = heads.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_").alias("row_"))
+    ties = stored(heads.join(number.where("n > 1").select("class_id"), "class_id", "left_semi"), "ties")
+    tied, _ = sieved(rows.select("row_", "text"), ties, "row_")
+    best = tied.join(ties, "row_").groupBy("class_id").agg(F.min(F.struct("text", "row_")).alias("best")).select("best.row_")
+    gone = stored(shared.select("row_").join(number.where("n = 1").select("row_").unionByName(best), "row_", "left_anti"), "gone")
+    perhaps, rest = sieved(rows, gone, "row_")
+    return rest.unionByName(perhaps.join(gone, "row_", "left_anti").select(rows.columns)).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 @query("op6_near_dedup")
