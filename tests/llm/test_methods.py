@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small inputs, and its method on its own."""
+import contextlib
 import hashlib
 import random
 import re
+import threading
 from collections import Counter
 from pathlib import Path
 
@@ -187,9 +189,30 @@ def test_texts_that_differ_in_repetition_only_are_near(spark):
     assert {r.doc_id: r.class_id for r in done.collect()} == want and len(set(want.values())) == 40
 
 
-def shuffled_bytes(spark):
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    return sum(file.stat().st_size for folder in manager.localDirsString() for file in Path(folder).rglob("shuffle_*.data"))
+def peak_of_shuffle_files(spark, action):
+    """What ``action`` returns, and the largest sum of bytes that its shuffle files had at a time. Spark removes them soon, so they are watched."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def sizes():
+        out = {}
+        for path in (path for folder in folders for path in Path(folder).glob("*/shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                out[path] = path.stat().st_size
+        return out
+
+    old, peak, ended = sizes(), [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.01):
+            peak[0] = max(peak[0], sum(size for path, size in sizes().items() if path not in old))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        return action(), peak[0]
+    finally:
+        ended.set()
+        watcher.join()
 
 
 @pytest.mark.parametrize("group", [400, 4])
@@ -202,9 +225,7 @@ def test_only_texts_of_candidates_are_exchanged(spark, operator, group):
     kept, broadcast = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set(kept, "-1")
     try:
-        before = shuffled_bytes(spark)
-        out = operator(docs, group=group).collect()
-        moved = shuffled_bytes(spark) - before
+        out, moved = peak_of_shuffle_files(spark, lambda: operator(docs, group=group).collect())
     finally:
         spark.conf.set(kept, broadcast)
     if operator is neardup.near_classes:
