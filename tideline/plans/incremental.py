@@ -128,11 +128,11 @@ def run(spark, root, registry, envelopes, as_of, dataset_sha256, code_version="1
     merge.require_consistent_versions(narrow)
     attempt = publish.new_attempt(run_id)
     versions = materialize(merge.outcomes(narrow), "outcomes")
-    added = merge.new_versions(incoming.withColumn("received_at", F.lit(generated_at)), narrow, versions, previous["as_of"] if previous is not None else None)
-    publish.write_whole(added.withColumn("source_bucket", merge.source_bucket(F.col("source_sha256"))), root, attempt, "event_revisions", within=("source_bucket",))
+    added = merge.new_versions(incoming.withColumn("received_at", F.lit(generated_at)), narrow, versions, previous["as_of"] if previous is not None else None, sliced=True)
+    publish.write_whole(added, root, attempt, "event_revisions", within=("source_bucket",))
     slot = spark.createDataFrame([(f"{publish.WHOLE}-{attempt}",)], "slot string")
     this = lambda name: publish.live_slots(spark, root, slot, name, one=True)
-    written = this("event_revisions") if not versions.filter("outcome <> 'kept'").isEmpty() else added.limit(0)
+    written = this("event_revisions") if not versions.filter("outcome <> 'kept'").isEmpty() else added.drop("source_bucket").limit(0)
     stats = materialize(merge.merge_stats(merge.outcome_counts(versions, written), checked), "statistics")
     changes = materialize(parts.with_part(merge.current_changes(written.drop("source_bucket")), width), "changes")
     by_part, now = maintain(spark, root, attempt, changes, as_of, previous, width)

@@ -63,8 +63,7 @@ def merge_micro_batch(path, previous_as_of=None, quarantine_path=None, landing=N
         incoming = materialize(accepted(checked, extra=DELIVERY), "incoming")
         narrow, versions = merge.classify(merge.affected(stored_history(frame.sparkSession, path, batch_id), incoming), incoming)
         merge.require_consistent_versions(narrow)
-        new = merge.new_versions(incoming, narrow, versions, previous_as_of).drop("outcome")
-        _store(new.withColumn("source_bucket", merge.source_bucket(F.col("source_sha256"))), batch_id, path)
+        _store(merge.new_versions(incoming, narrow, versions, previous_as_of, sliced=True).drop("outcome"), batch_id, path)
         if quarantine_path:
             _store(quarantined(checked, extra=("batch_id", "revision", "record")), batch_id, quarantine_path)
     return body
