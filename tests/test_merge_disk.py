@@ -33,7 +33,7 @@ def kept_bytes(folder):
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names if name.endswith(".parquet"))
 
 
-@pytest.mark.parametrize("name", ["merge_events", "current_events", "late_arrivals"])
+@pytest.mark.parametrize("name", ["merge_events", "current_events", "late_arrivals", "merge_stats"])
 def test_a_merge_keeps_few_bytes_a_delivery(spark, tables, tmp_path, monkeypatch, name):
     monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
     assert getattr(queries, name)(spark, tables).count() > 0
